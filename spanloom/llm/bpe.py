@@ -4,13 +4,13 @@ A byte pair that occurs inside no vocabulary token can never be bridged by a mer
 between its two bytes and the fragments encoded one by one. The table of these pairs is read off the
 vocabulary. Two kinds of cut follow from it:
 
-* between a non-space character and the white space after it, where the pre-tokenizer always parts the
-  text too (for ASCII white space every such pair is in the table; for other white space the
-  pre-tokenizer alone makes the cut certain);
-* inside the pre-tokens of one fragment, at every pair of the table.
+* before ASCII white space that follows another character: no token spans such a pair, and the pre-tokenizer parts
+  the text there whatever comes after. Very long texts are cut into chunks here.
+* inside long pre-tokens, at every pair of the table.
 
-Fragments recur, so each distinct one is encoded once per worker and then looked up; the memory of the
-look-up table is bounded by ``CACHE_ENTRIES``. The merges themselves are those of the tokenizers library's model.
+Between cuts, the pre-tokens of a fragment are found as the tokenizers library finds them (its own pre-tokenizer does
+it wherever characters occur whose Unicode class depends on the version of the tables). Pieces recur, so each distinct
+short one is encoded once per worker and then looked up; CACHE_ENTRIES bounds the memory of that.
 
 Nulls encode and decode like the empty text, to no ids. Very long texts are cut like any other. Extra columns are
 kept; a column that has the name of an output is replaced.
@@ -21,22 +21,26 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_ENTRIES = 400_000
-#: Longer fragments are encoded each time they occur.
-CACHE_CHARS = 64
+CACHE_ENTRIES = 600_000
+#: Longer pieces are encoded each time they occur, and cut at forced pairs first.
+CACHE_CHARS = 24
+#: Longer texts are cut into chunks of about so many characters, at the next certain cut.
+CHUNK_CHARS = 1_000_000
 
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = r"\t-\r \x85\xa0  -     　"
 _FRAGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-#: Characters whose Unicode classes are the same in every version of the tables.
-_SETTLED = re.compile(r"[ \t\n\r!-~\xa1-\u024f]+")
-_GPT_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_CUT = re.compile(f"(?<=[^{_SPACE}])(?=[\\t-\\r ])")
+#: Characters whose Unicode classes are the same in every version of the tables, and the letters and numbers among them.
+SETTLED = re.compile(r"[ \t\n\r!-~\xa1-\u024f]*")
+LETTERS, NUMBERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc\xbd\xbe"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 
 
 def byte_alphabet() -> list[str]:
@@ -54,22 +58,31 @@ def forced_pairs(tokens) -> np.ndarray:
     return forced
 
 
-class _Bounded(dict):
-    """A look-up table that computes what it lacks and starts afresh when full."""
+class Bounded(dict):
+    """A look-up table from strings that computes what it lacks and starts afresh when full."""
 
-    def __init__(self, compute, short=len):
+    def __init__(self, compute):
         super().__init__()
-        self._compute, self._short = compute, short
+        self._compute = compute
 
     def __missing__(self, key):
         value = self._compute(key)
-        if self._short(key) <= CACHE_CHARS:
+        if len(key) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
             self[key] = value
         return value
 
 
+def chunks(text: str):
+    """The text in pieces of about CHUNK_CHARS, cut only before ASCII white space that follows another character."""
+    at = 0
+    while len(text) - at > CHUNK_CHARS and (cut := _CUT.search(text, at + CHUNK_CHARS)):
+        yield text[at:cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 class ByteBPE:
     """Encoder and decoder for a byte-level tokenizers file without normalizer (such as byte_bpe_50k.json)."""
 
@@ -93,39 +106,43 @@ class ByteBPE:
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self._bytes = {i: bytes(back[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.forced = forced_pairs(b for i, b in self._bytes.items() if i not in self.special.values())
-        self._pieces = _Bounded(self._merge)
-        self._fragments = _Bounded(self._fragment)
-
-    def _merge(self, piece: str) -> bytes:
-        return np.array([t.id for t in self._model.tokenize(piece)], np.int32).tobytes()
-
-    def _mapped(self, fragment: str) -> list[str]:
-        """The pre-tokens of a fragment, one character for each byte."""
-        if _SETTLED.fullmatch(fragment):
-            return [w.encode().decode("latin-1").translate(self._char) for w in _GPT_WORDS.findall(fragment)]
-        return [w for w, _ in self._pre.pre_tokenize_str(fragment)]
-
-    def _fragment(self, fragment: str) -> bytes:
+        # Every pair of a character and ASCII white space after it must be forced for the cuts between chunks.
+        space = [*range(9, 14), 32]
+        wide = [b for b in range(256) if b not in space and not self.forced[b, space].all()]
+        if any(b < 0x80 for b in wide):
+            raise ValueError(f"{path}: tokens of the vocabulary run on into white space")
+        self._pieces = Bounded(self._piece)
+        self._mapped = Bounded(self._merge)
+
+    def _merge(self, mapped: str) -> bytes:
+        """Ids of a pre-token that is given with one character for each byte, cut at forced pairs if it is long."""
+        if len(mapped) <= CACHE_CHARS:
+            return array("i", [t.id for t in self._model.tokenize(mapped)]).tobytes()
+        raw = np.array([_BYTE_OF[c] for c in mapped], np.uint8)
+        at = [0, *(np.flatnonzero(self.forced[raw[:-1], raw[1:]]) + 1).tolist(), len(mapped)]
+        return array("i", [t.id for i, j in zip(at, at[1:]) for t in self._model.tokenize(mapped[i:j])]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return self._merge(piece.encode().decode("latin-1").translate(self._char))
+
+    def _plain(self, text: str) -> bytes:
         out = []
-        for word in self._mapped(fragment):
-            if len(word) > 2:
-                raw = np.array([_BYTE_OF[c] for c in word], np.uint8)
-                at = [0, *(np.flatnonzero(self.forced[raw[:-1], raw[1:]]) + 1).tolist(), len(word)]
-                out += [self._pieces[word[i:j]] for i, j in zip(at, at[1:])]
+        for chunk in chunks(text):
+            if SETTLED.fullmatch(chunk):
+                out += map(self._pieces.__getitem__, _PIECES.findall(chunk))
             else:
-                out.append(self._pieces[word])
+                for fragment in _FRAGMENT.findall(chunk):
+                    if SETTLED.fullmatch(fragment):
+                        out += map(self._pieces.__getitem__, _PIECES.findall(fragment))
+                    else:
+                        out += [self._mapped[w] for w, _ in self._pre.pre_tokenize_str(fragment)]
         return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids (int32) that the library gives without special tokens of its own."""
         if self._special is None or not self._special.search(text):
-            return np.frombuffer(b"".join(map(self._fragments.__getitem__, _FRAGMENT.findall(text))), np.int32)
-        parts = []
-        for part in self._special.split(text):
-            if part in self.special:
-                parts.append(np.array([self.special[part]], np.int32).tobytes())
-            else:
-                parts += map(self._fragments.__getitem__, _FRAGMENT.findall(part))
+            return np.frombuffer(self._plain(text), np.int32)
+        parts = [array("i", [self.special[p]]).tobytes() if p in self.special else self._plain(p) for p in self._special.split(text)]
         return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids) -> str:

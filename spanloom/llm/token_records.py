@@ -23,15 +23,15 @@ import json
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.bpe import _Bounded, blocks, byte_alphabet
+from spanloom.llm.bpe import LETTERS, NUMBERS, SETTLED, Bounded, blocks, byte_alphabet, chunks
 from spanloom.llm.common import atomic_file, filesystem
 
 _HEAD, _META = struct.Struct("<QI"), struct.Struct("<qB")
@@ -40,17 +40,16 @@ INDEX_SCHEMA = "file string, part int, offset long, length long, doc_id long, n_
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_SETTLED = re.compile(r"[!-~\xa1-\u012f\u0131-\u024f]+")
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordBPE:
     """Encodes with a word-end BPE file of the tokenizers library (such as word_bpe_49k.json).
 
-    Its normalizer and pre-tokenizer never look across white space, so each distinct word is encoded once per
-    worker. Words of letters whose Unicode classes never change go straight to the library's merges; all
-    others, and those with special tokens, through the whole tokenizer.
+    Its normalizer and pre-tokenizer never look across white space. Texts of characters whose Unicode classes never
+    change are cut into pre-tokens here, and each distinct one goes to the library's merges once per worker; the
+    words of all other texts, and of those with special tokens, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -71,20 +70,25 @@ class WordBPE:
         self._special = [t["content"] for t in spec["added_tokens"]]
         self.vocab_size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self._model, self._char = self._tokenizer.model, dict(enumerate(byte_alphabet()))
-        self._pieces = _Bounded(self._merge)
-        self._words = _Bounded(self._word)
+        self._pieces = Bounded(self._piece)
+        self._words = Bounded(self._word)
 
-    def _merge(self, piece: str) -> bytes:
+    def _piece(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self._char)
-        return np.array([t.id for t in self._model.tokenize(mapped)], np.uint32).tobytes()
+        return array("I", [t.id for t in self._model.tokenize(mapped)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if _SETTLED.fullmatch(word) and not any(s in word for s in self._special):
-            return b"".join(map(self._pieces.__getitem__, _PARTS.findall(word.lower())))
-        return np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self._words.__getitem__, _WORDS.findall(text))), np.uint32)
+        out = []
+        for chunk in chunks(text):
+            # Lower-casing U+0130 makes a combining character, so such texts take the other way.
+            if SETTLED.fullmatch(chunk) and "\u0130" not in chunk and not any(s in chunk for s in self._special):
+                out += map(self._pieces.__getitem__, _PIECES.findall(chunk.lower()))
+            else:
+                out += map(self._words.__getitem__, _WORDS.findall(chunk))
+        return np.frombuffer(b"".join(out), np.uint32)
 
 
 @functools.lru_cache(maxsize=2)
