@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 #: Longer pieces are encoded each time they occur, and cut at forced pairs first.
 CACHE_CHARS = 24
 #: Longer texts are cut into chunks of about so many characters, at the next certain cut.
 CHUNK_CHARS = 1_000_000
 
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _FRAGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _CUT = re.compile(f"(?<=[^{_SPACE}])(?=[\\t-\\r ])")
 #: Characters whose Unicode classes are the same in every version of the tables, and the letters and numbers among them.
