@@ -82,3 +82,8 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def let(value, body):
+    """body(value) with the value computed once, however often the body (its lambdas included) uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

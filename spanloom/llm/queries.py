@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import shared_dir, table
+from spanloom.llm.mixing import ORACLE as mixing_sql
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +33,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import mixing
+
+    mixed = mixing.mix_keys(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     from spanloom.llm import token_records
 
@@ -48,9 +56,46 @@ def op8_token_records(spark: SparkSession, sf_dir: str, path: str | None = None)
     )
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import fingerprints as fp
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("mins", fp.mins(F.col("text")))
+    both = fp.next_rows(docs).withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars - floor(n_chars / 4)))"), F.expr("substring(head, 1, int(floor(n_chars / 4)))")))
+    both = both.withColumn("edited_mins", fp.mins(F.col("edited")))
+    return both.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fp.shown(F.col("mins")).alias("fingerprint"),
+        fp.shown(F.col("edited_mins")).alias("edited_fingerprint"),
+        fp.resemblance(F.col("mins"), F.col("edited_mins")).alias("near_edited"),
+        fp.resemblance(F.col("mins"), F.col("next_mins")).alias("near_next"),
+        fp.containment(F.col("edited_mins"), F.col("mins")).alias("edited_contained"),
+        fp.distinct_count(F.col("mins")).alias("n_shingles_estimate"),
+    )
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import secrets
+
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"] != "entropy")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
     "op8_token_records": op8_token_records,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing_sql,
+}
