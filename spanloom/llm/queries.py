@@ -40,6 +40,15 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import warc
+
+    folder = shared_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    got = warc.read(spark, folder)
+    return got.select("page_id", F.col("declared_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", F.length("payload").cast("long").alias("stored_bytes"))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     from spanloom.llm import token_records
 
@@ -91,6 +100,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op5_warc": op5_warc,
     "op8_token_records": op8_token_records,
     "op9_fingerprints": op9_fingerprints,
     "op10_secrets": op10_secrets,
