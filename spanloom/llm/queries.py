@@ -49,6 +49,15 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", F.col("declared_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", F.length("payload").cast("long").alias("stored_bytes"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import pii
+
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    base = F.filter("pii", lambda s: s["base"])
+    count = lambda k: F.size(F.filter("pii", lambda s: s["base"] & (s["rank"] == k))).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return found.select("doc_id", *map(count, range(4)), F.sha2(pii.shown(base).cast("binary"), 256).alias("base_sha256"), pii.shown(F.col("pii")).alias("spans"))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     from spanloom.llm import token_records
 
@@ -101,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
     "op5_warc": op5_warc,
+    "op6_pii": op6_pii,
     "op8_token_records": op8_token_records,
     "op9_fingerprints": op9_fingerprints,
     "op10_secrets": op10_secrets,
