@@ -58,6 +58,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, range(4)), F.sha2(pii.shown(base).cast("binary"), 256).alias("base_sha256"), pii.shown(F.col("pii")).alias("spans"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import quality
+
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return judged.select("doc_id", *quality.FEATURES, "base_failed", "kept", F.col("bits").alias("bits_per_char"), "low", "high")
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     from spanloom.llm import token_records
 
@@ -111,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op5_warc": op5_warc,
     "op6_pii": op6_pii,
+    "op7_quality": op7_quality,
     "op8_token_records": op8_token_records,
     "op9_fingerprints": op9_fingerprints,
     "op10_secrets": op10_secrets,
