@@ -40,6 +40,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import line_dedup
+
+    done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), "text")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm import warc
 
@@ -116,6 +123,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_warc": op5_warc,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
