@@ -40,6 +40,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import near_dup
+
+    grouped = near_dup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
+    return grouped.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm import line_dedup
 
@@ -123,6 +130,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op3_near_dup": op3_near_dup,
     "op4_line_dedup": op4_line_dedup,
     "op5_warc": op5_warc,
     "op6_pii": op6_pii,
