@@ -6,7 +6,7 @@ fewer words is one shingle, and one without words has none. Two sketches merge b
 parts (cut with an overlap of four words) can be sketched apart. Null texts are empty. Equal texts have equal sketches.
 
 next_rows() pairs each document with the next one by id without a global sort: ids are put into buckets of even width, each is
-ordered by itself, and only the first ids of the buckets (BUCKETS rows at most) are ordered in one task.
+ordered by itself, and only the first ids of the buckets (BUCKETS + 1 rows at most) are ordered in one task.
 """
 
 from __future__ import annotations
@@ -62,30 +62,22 @@ def shown(m: Column, k: int = K) -> Column:
     return F.concat(F.size(m).cast("string"), F.lit(":"), F.array_join(F.transform(m, lambda h: F.lpad(F.hex(h), 12, "0")), ","))
 
 
-def next_ids(ids: DataFrame, key: str) -> DataFrame:
-    """ids (distinct keys, more columns) with next_key: the next larger one; after the largest comes the smallest. Null is smallest."""
-    lo, hi = ids.agg(F.min(key), F.max(key)).first()
-    width = 1 if lo is None else (hi - lo) // BUCKETS + 1
-    put = ids.withColumn("_b", F.coalesce(F.floor((F.col(key) - F.lit(lo or 0)) / F.lit(width)).cast("long"), F.lit(-1)))
-    inner = Window.partitionBy("_b").orderBy(F.col(key).asc_nulls_first())
-    firsts = put.groupBy("_b").agg(F.min(key).alias("_first"))
-    order = Window.orderBy("_b")
-    ring = firsts.select("_b", F.lead("_first").over(order).alias("_after"), F.first("_first").over(order).alias("_start"), F.lead("_b").over(order).isNull().alias("_end"))
-    rows = put.select("*", F.lead(key).over(inner).alias("_n"), (F.count(F.lit(1)).over(Window.partitionBy("_b")) == F.row_number().over(inner)).alias("_last"))
-    return rows.join(F.broadcast(ring), "_b").select(
-        *ids.columns, F.when(~F.col("_last"), F.col("_n")).when(F.col("_end"), F.col("_start")).otherwise(F.col("_after")).alias("next_key")
-    )
-
-
 def next_rows(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
-    """df (key, text, n_chars, mins) with head and next_mins: of the row that follows by key, the first floor(n_chars / 4) code points and the sketch.
+    """df (key, text) with mins, next_text and next_mins: the row's sketch, and the text and the sketch of the row that follows.
 
-    Rows of one key share what follows; of several rows of the following key, that with the least text counts. The texts are
-    shuffled once by key (both joins use that), the heads once.
+    Rows are ordered by key (null first), those of one key by text; the first follows the last. A row goes to its key's bucket in the one
+    shuffle that texts take, and a copy of each bucket's first row (BUCKETS + 1 at most) to the end of the bucket before.
     """
-    rows = df.withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    reach = df.groupBy(key).agg(F.max(F.floor(F.col("n_chars") / 4)).alias("reach"))
-    need = next_ids(reach, key).select(F.coalesce(F.col("next_key").cast("string"), F.lit("null")).alias("_k"), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("_of"), "reach")
-    heads = rows.join(need, "_k").select("_of", F.struct(F.expr(f"substring({text}, 1, int(reach))").alias("head"), F.length(text).alias("n"), F.xxhash64(text).alias("h"), F.col("mins").alias("next_mins")).alias("x"))
-    one = heads.groupBy(F.col("_of").alias("_k")).agg(F.min_by("x", F.struct("x.head", "x.n", "x.h")).alias("x"))
-    return rows.join(one, "_k").select(*df.columns, F.col("x.head").alias("head"), F.col("x.next_mins").alias("next_mins"))
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    width = 1 if lo is None else (hi - lo) // BUCKETS + 1
+    put = df.select(key, text).withColumn("_b", F.coalesce(F.floor((F.col(key) - F.lit(lo or 0)) / F.lit(width)).cast("long"), F.lit(-1)))
+    firsts = put.groupBy("_b").agg(F.min(key).alias("_first"))
+    order = Window.orderBy(F.col("_b").desc())
+    before = Window.partitionBy().orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ring = firsts.select("_first", F.coalesce(F.lead("_b").over(order), F.last("_b").over(before)).alias("_to"))
+    found = put.join(F.broadcast(ring), put[key].eqNullSafe(ring["_first"])).groupBy("_to").agg(F.min(text).alias(text))
+    ends = found.select(F.lit(None).cast(df.schema[key].dataType).alias(key), text, F.col("_to").alias("_b"), F.lit(1).alias("_end"))
+    rows = put.withColumn("_end", F.lit(0)).unionByName(ends).repartition("_b").withColumn("mins", mins(F.col(text), k))
+    inner = Window.partitionBy("_b").orderBy("_end", F.col(key).asc_nulls_first(), text)
+    led = rows.withColumns({"next_text": F.lead(text).over(inner), "next_mins": F.lead("mins").over(inner)})
+    return led.where("_end = 0").drop("_b", "_end")

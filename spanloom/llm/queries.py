@@ -99,8 +99,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm import fingerprints as fp
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("mins", fp.mins(F.col("text")))
-    both = fp.next_rows(docs).withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars - floor(n_chars / 4)))"), F.expr("substring(head, 1, int(floor(n_chars / 4)))")))
+    both = fp.next_rows(docs).withColumn("n_chars", F.length("text").cast("long")).withColumn(
+        "edited", F.concat(F.expr("substring(text, 1, int(n_chars - floor(n_chars / 4)))"), F.expr("substring(next_text, 1, int(floor(n_chars / 4)))"))
+    )
     both = both.withColumn("edited_mins", fp.mins(F.col("edited")))
     return both.select(
         "doc_id",
