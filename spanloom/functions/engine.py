@@ -42,6 +42,22 @@ class Engine:
         found = self.machine.search(text, start, end, earliest=True)
         return None if found is None else found[1]
 
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        """Start and end of each match, as each() gives them."""
+        if self.compiled is None:
+            yield from ((m[0], m[1]) for m in self.each(text))
+            return
+        search, n, at, last = self.compiled.search, len(text), 0, -1
+        while at <= n and (m := search(text, at)):
+            a, b = m.span()
+            if a == b == last:
+                at = last + 1
+                if at > n or not (m := search(text, at)):
+                    return
+                a, b = m.span()
+            yield a, b
+            at = last = b
+
     def each(self, text: str, start: int = 0, end: int | None = None) -> Iterator[Slots]:
         """All matches in turn: none overlaps another, and none is empty right after another."""
         n = len(text) if end is None else min(end, len(text))

@@ -169,7 +169,7 @@ class Regex:
 
     def find_iter(self, c: Column | str, chars: bool = False, start: Column | int = 0, limit: int | None = None) -> Column:
         """All spans, leftmost first. A limit refuses texts with more matches (the query fails) instead of cutting the answer."""
-        spans = self._arrow(f"array<{SPAN}>", pa.list_(_PA_SPAN), lambda e, s, o, i: [_span(m, o, chars) for m in e.each(s, i if chars else o.chars(i))], column(c), _whole(start))
+        spans = self._arrow(f"array<{SPAN}>", pa.list_(_PA_SPAN), lambda e, s, o, i: [_span(m, o, chars) for m in (e.each(s, i if chars else o.chars(i)) if i else e.spans(s))], column(c), _whole(start))
         return spans if limit is None else limited(spans, limit)
 
     def shortest_match(self, c: Column | str, start: Column | int = 0, end: Column | int | None = None) -> Column:
@@ -192,16 +192,16 @@ class Regex:
             return F.floor(gone / len(p.literal.encode())).cast("bigint")
         if p.builtin:
             return F.regexp_count(t, F.lit(p.java)).cast("bigint")
-        return self._arrow("bigint", pa.int64(), lambda e, s, _: sum(1 for _ in e.each(s)), column(c))
+        return self._arrow("bigint", pa.int64(), lambda e, s, _: sum(1 for _ in e.spans(s)), column(c))
 
     def span_sum(self, c: Column | str) -> Column:
         """Matched bytes."""
         p, t = self.plan, self._text(c)
         if p.literal:
             return self.count(c) * len(p.literal if self._bytes else p.literal.encode())
-        if p.builtin:
+        if not p.unsafe:  # empty matches add nothing, so it doesn't matter which of them Spark counts
             return F.aggregate(F.regexp_extract_all(t, F.lit(p.java), F.lit(0)), F.lit(0).cast("bigint"), lambda a, m: a + (F.length(m) if self._bytes else F.octet_length(m)))
-        return self._arrow("bigint", pa.int64(), lambda e, s, o: sum(o.bytes(m[1]) - o.bytes(m[0]) for m in e.each(s)), column(c))
+        return self._arrow("bigint", pa.int64(), lambda e, s, o: sum(-o.bytes(a) + o.bytes(b) for a, b in e.spans(s)), column(c))
 
     def match_stats(self, c: Column | str) -> Column:
         """struct<count, span_sum> in one pass."""
@@ -212,7 +212,7 @@ class Regex:
             return F.aggregate(each, start, lambda a, m: F.struct((a["count"] + 1).alias("count"), (a["span_sum"] + (F.length(m) if self._bytes else F.octet_length(m))).alias("span_sum")))
 
         def stats(e, s, o):
-            each = [(o.bytes(m[0]), o.bytes(m[1])) for m in e.each(s)]
+            each = [(o.bytes(a), o.bytes(b)) for a, b in e.spans(s)]
             return {"count": len(each), "span_sum": sum(b - a for a, b in each)}
 
         return self._arrow("struct<count:bigint,span_sum:bigint>", pa.struct([("count", pa.int64()), ("span_sum", pa.int64())]), stats, column(c))
