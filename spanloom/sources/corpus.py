@@ -18,14 +18,14 @@ def files(spark: SparkSession, path: str | list[str], hidden: bool = False, patt
 
 def texts(spark: SparkSession, path: str | list[str], hidden: bool = False, pattern: str = "*") -> DataFrame:
     """(path, text): whole files as UTF-8 text."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     df = df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return df if hidden else df.where(~F.col("path").rlike(_HIDDEN))
 
 
 def lines(spark: SparkSession, path: str | list[str], hidden: bool = False, pattern: str = "*") -> DataFrame:
     """(path, line): one row for each line. Large files are split among tasks, so lines carry no numbers; see operators.explode_lines for those."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
+    df = spark.read.text(path, lineSep="\n", recursiveFileLookup=True, pathGlobFilter=pattern)
     df = df.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\r\z", "").alias("line"))
     return df if hidden else df.where(~F.col("path").rlike(_HIDDEN))
 
