@@ -112,11 +112,11 @@ def _narrow(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
 
 def _copies(df: DataFrame, plan: DataFrame) -> DataFrame:
-    right = plan.select(F.col("source").alias("_p"), "source_size", "target", "base", "threshold")
+    right = plan.select(F.col("source").alias("_p"), "source_size", "target", F.col("base").alias("_base"), F.col("threshold").alias("_threshold"))
     if right.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         right = F.broadcast(right)
     joined = df.join(right, F.col("_s").eqNullSafe(F.col("_p")))
-    return joined.withColumn("copies", F.col("base") + F.when(F.col("_h") < F.col("threshold"), 1).otherwise(0)).drop("_s", "_p", "_h", "base", "threshold")
+    return joined.withColumn("copies", F.col("_base") + F.when(F.col("_h") < F.col("_threshold"), 1).otherwise(0)).drop("_s", "_p", "_h", "_base", "_threshold")
 
 
 def mix_keys(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
