@@ -11,7 +11,8 @@ lines of the two documents agree, and the lines of the later run are deleted. A
 one copy of everything stays. Lines of shorter repeats stay too.
 
 The first positions are pre-aggregated minima, so a fingerprint that a third of all documents share costs one row for each of them. Line hashes
-travel once for each pair of a document and an earlier one that it repeats. The texts are shuffled once at most, when the deletions are joined back.
+travel once for each pair of a document and an earlier one that it repeats. Texts aren't shuffled: the deletions are stored as sorted arrays in the
+shared folder, which the workers map into memory and look up document by document.
 
 Nulls: a null text has no lines and stays null; documents with a null id come last. Rows that are equal in id and text are one document.
 Empty tables give empty results. Extra columns are kept; columns that have the name of an output are replaced.
@@ -19,13 +20,16 @@ Empty tables give empty results. Extra columns are kept; columns that have the n
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.llm.bpe import blocks
-from spanloom.llm.common import materialise, without
+from spanloom.llm.common import atomic_file, filesystem, materialise, shared_dir, without
 
 MIN_WORDS = 50
 _NULL_ID = (1 << 63) - 1
@@ -128,19 +132,92 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
     return runs.groupBy("id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
 
 
+def store(found: DataFrame) -> str:
+    """Writes repeats() as sorted arrays (id and th of each document, where its line numbers start, and those) into the shared folder; returns it."""
+    folder = shared_dir(found.sparkSession, "line-repeats")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        held = [(np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(2).to_pylist()) for b in batches if b.num_rows]
+        if held:
+            rows = [x for h in held for x in h[2]]
+            upto = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+            arrays = {"ids": np.concatenate([h[0] for h in held]), "ths": np.concatenate([h[1] for h in held]), "upto": upto, "lines": np.array([v for x in rows for v in x], np.int64)}
+            for name, array in arrays.items():
+                with atomic_file(folder, f"part-{TaskContext.get().partitionId():06d}.{name}.npy") as stream:
+                    np.lib.format.write_array_header_1_0(stream, {"descr": "<i8", "fortran_order": False, "shape": array.shape})
+                    stream.write(np.ascontiguousarray(array, "<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64())], names=["n"])
+
+    found.repartitionByRange("id", "th").sortWithinPartitions("id", "th").mapInArrow(run, "n long").write.parquet(f"{folder}-written")
+    return folder
+
+
+class Removed:
+    """The stored line numbers by document. Files are mapped into memory where the file system is local."""
+
+    def __init__(self, folder: str):
+        import io
+
+        from pyarrow import fs
+
+        system, root = filesystem(folder)
+        found = sorted(f.path for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(".ids.npy"))
+
+        def load(path):
+            if isinstance(system, fs.LocalFileSystem):
+                return np.load(path, mmap_mode="r")
+            with system.open_input_stream(path) as s:
+                return np.load(io.BytesIO(s.read()))
+
+        self.parts = [tuple(load(p.replace(".ids.npy", f".{x}.npy")) for x in ("ids", "ths", "upto", "lines")) for p in found]
+        self.lasts = np.array([p[0][-1] for p in self.parts], np.int64)
+
+    def get(self, doc: int, th: int) -> np.ndarray | None:
+        for part in self.parts[int(np.searchsorted(self.lasts, doc, "left")):]:
+            ids, ths, upto, lines = part
+            i, j = np.searchsorted(ids, doc, "left"), np.searchsorted(ids, doc, "right")
+            if i == j:
+                return None
+            at = np.flatnonzero(ths[i:j] == th)
+            if len(at):
+                return lines[upto[i + at[0]]:upto[i + at[0] + 1]]
+            if j < len(ids):
+                return None
+        return None
+
+
+@functools.lru_cache(maxsize=2)
+def _loaded(folder: str) -> Removed:
+    return Removed(folder)
+
+
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """df with the text's later repeats deleted, n_lines (before) and removed (array<int>: numbers of the deleted lines)."""
-    found = materialise(repeats(df, key, text, min_words), "line-repeats").select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("_removed"))
-    rows = without(df, *[c for c in ("n_lines", "removed") if c not in (key, text)]).withColumns({"_i": F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)), "_h": F.xxhash64(text)})
-    joined = rows.join(found, (F.col("_i") == F.col("_id")) & (F.col("_h") == F.col("_th")), "left").drop("_i", "_h", "_id", "_th")
-    lines = F.split(F.col(text), "\n", -1)
-    # The lines between deleted runs, as slices from one deleted line to the next.
-    cut = F.concat(F.array(F.lit(-1)), F.col("_removed"), F.array(F.col("_n")))
-    joined = joined.withColumn("_n", F.coalesce(F.size(lines), F.lit(0)))
-    joined = joined.withColumns({"_lines": F.when(F.col("_removed").isNotNull(), lines), "_cut": F.when(F.col("_removed").isNotNull(), cut)})
-    kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_cut") - 1), lambda i: F.slice("_lines", F.get("_cut", i - 1) + 2, F.get("_cut", i) - F.get("_cut", i - 1) - 1)))
-    return joined.withColumns({
-        text: F.when(F.col("_removed").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text)),
-        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.col("_n")).cast("long"),
-        "removed": F.coalesce("_removed", F.array().cast("array<int>")),
-    }).drop("_removed", "_n", "_lines", "_cut")
+    folder = store(materialise(repeats(df, key, text, min_words), "line-repeats"))
+    rows = without(df, *[c for c in ("n_lines", "removed") if c not in (key, text)])
+    kept = rows.schema.fields
+    schema = T.StructType([*kept, T.StructField("n_lines", T.LongType(), False), T.StructField("removed", T.ArrayType(T.IntegerType(), False), False)])
+    marked = rows.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)), "_th": F.xxhash64(text)})
+
+    def run(batches):
+        found = _loaded(folder)
+        for batch in batches:
+            for part in blocks(batch, text):
+                names = part.schema.names
+                texts, n_lines, removed = part.column(names.index(text)).to_pylist(), [], []
+                for i, (doc, th) in enumerate(zip(part.column(names.index("_id")).to_pylist(), part.column(names.index("_th")).to_pylist())):
+                    gone = found.get(doc, th)
+                    if gone is None:
+                        n_lines.append(0 if texts[i] is None else texts[i].count("\n") + 1)
+                        removed.append([])
+                    else:
+                        lines, drop = lines_of(texts[i]), set(gone.tolist())
+                        n_lines.append(len(lines))
+                        removed.append(gone.tolist())
+                        texts[i] = "\n".join([x for k, x in enumerate(lines) if k not in drop])
+                columns = [pa.array(texts, part.schema.field(f.name).type) if f.name == text else part.column(names.index(f.name)) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(removed, pa.list_(pa.int32()))], names=[*[f.name for f in kept], "n_lines", "removed"])
+
+    return marked.mapInArrow(run, schema)
