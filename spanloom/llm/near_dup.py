@@ -43,7 +43,6 @@ LENGTH, CHUNKS = 65, 13
 DISTANCE = 2 * CHUNKS - 1
 BLOCK = 1024
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, (LENGTH, 2), dtype=np.uint64) | np.uint64(1)
 
 
@@ -59,48 +58,52 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Shingler:
-    """Distinct shingle hashes of texts. The hashes of words are looked up; the table is emptied when it has LIMIT words."""
+class WordHashes(dict):
+    """The 8-byte hash of each word, looked up; emptied when it has LIMIT words."""
 
     LIMIT = 500_000
 
+    def __missing__(self, word: str) -> bytes:
+        import xxhash
+
+        if len(self) >= self.LIMIT:
+            self.clear()
+        found = self[word] = xxhash.xxh64_digest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+class Shingler:
+    """Distinct shingle hashes of texts."""
+
     def __init__(self, words: int):
-        self.words, self.known = words, {}
+        self.words, self.known = words, WordHashes()
 
     def __call__(self, text: str) -> np.ndarray:
         """Sorted distinct hashes of the text's shingles (the whole sequence if it is shorter, none without words)."""
-        import xxhash
-
-        found = _WORDS.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
-        known, n = self.known, self.words
-        try:
-            ids = [known[w] for w in found]
-        except KeyError:
-            if len(known) > self.LIMIT:
-                known.clear()
-            for w in found:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-            ids = [known[w] for w in found]
-        h = np.array(ids, np.uint64)
+        # lower() of bytes changes A-Z alone
+        found = _WORDS.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+        n, h = self.words, np.frombuffer(b"".join(map(self.known.__getitem__, found)), np.uint64)
         if len(h) < n:
+            import xxhash
+
             return np.array([xxhash.xxh64_intdigest(h.tobytes(), seed=len(h))], np.uint64) if len(h) else h
         out = np.zeros(len(h) - n + 1, np.uint64)
         for k in range(n):
-            out = _mixed(out ^ h[k:len(h) - n + 1 + k])
-        return np.unique(out)
+            # each step's product spreads what was mixed in before, so the order of the words counts
+            out = (out ^ h[k:len(h) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return np.unique(_mixed(out))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """LENGTH symbols (uint16) of a set that isn't empty."""
-    out = np.empty(LENGTH, np.uint64)
-    for i, (a, b) in enumerate(_SEEDS):
-        x = shingles * a + b
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0x9E3779B97F4A7C15)
-        out[i] = x.min()
+    """LENGTH symbols (uint16) of a set that isn't empty. All hash functions are worked off together, over blocks of the set that stay in the cache."""
+    least = None
+    for i in range(0, len(shingles), 1024):
+        x = shingles[None, i:i + 1024] ^ _SEEDS[:, :1]
+        x *= _SEEDS[:, 1:]
+        least = x.min(1) if least is None else np.minimum(least, x.min(1))
     # the minimum's own bits are small numbers at the top: mix them before 16 are taken
-    return (_mixed(out) & np.uint64(0xFFFF)).astype(np.uint16)
+    return (_mixed(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def index_keys(signatures: np.ndarray) -> np.ndarray:
