@@ -75,6 +75,28 @@ def atomic_file(folder: str, name: str):
     system.move(draft, f"{root}/{name}")
 
 
+def save_array(folder: str, name: str, array) -> None:
+    """Writes an array as a .npy file of the shared folder."""
+    import numpy as np
+
+    with atomic_file(folder, name) as stream:
+        np.lib.format.write_array_header_1_0(stream, {"descr": array.dtype.str, "fortran_order": False, "shape": array.shape})
+        stream.write(np.ascontiguousarray(array).tobytes())
+
+
+def load_array(system, path: str):
+    """An array of save_array(): mapped into memory where the file system is local, else read."""
+    import io
+
+    import numpy as np
+    from pyarrow import fs
+
+    if isinstance(system, fs.LocalFileSystem):
+        return np.load(path, mmap_mode="r")
+    with system.open_input_stream(path) as stream:
+        return np.load(io.BytesIO(stream.read()))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that would clash with an operator's own outputs."""
     return df.drop(*[n for n in names if n in df.columns])

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.bpe import blocks
-from spanloom.llm.common import atomic_file, filesystem, materialise, shared_dir, without
+from spanloom.llm.common import filesystem, load_array, materialise, save_array, shared_dir, without
 
 MIN_WORDS = 50
 _NULL_ID = (1 << 63) - 1
@@ -145,9 +145,7 @@ def store(found: DataFrame) -> str:
             upto = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
             arrays = {"ids": np.concatenate([h[0] for h in held]), "ths": np.concatenate([h[1] for h in held]), "upto": upto, "lines": np.array([v for x in rows for v in x], np.int64)}
             for name, array in arrays.items():
-                with atomic_file(folder, f"part-{TaskContext.get().partitionId():06d}.{name}.npy") as stream:
-                    np.lib.format.write_array_header_1_0(stream, {"descr": "<i8", "fortran_order": False, "shape": array.shape})
-                    stream.write(np.ascontiguousarray(array, "<i8").tobytes())
+                save_array(folder, f"part-{TaskContext.get().partitionId():06d}.{name}.npy", array.astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64())], names=["n"])
 
     found.repartitionByRange("id", "th").sortWithinPartitions("id", "th").mapInArrow(run, "n long").write.parquet(f"{folder}-written")
@@ -158,20 +156,11 @@ class Removed:
     """The stored line numbers by document. Files are mapped into memory where the file system is local."""
 
     def __init__(self, folder: str):
-        import io
-
         from pyarrow import fs
 
         system, root = filesystem(folder)
         found = sorted(f.path for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(".ids.npy"))
-
-        def load(path):
-            if isinstance(system, fs.LocalFileSystem):
-                return np.load(path, mmap_mode="r")
-            with system.open_input_stream(path) as s:
-                return np.load(io.BytesIO(s.read()))
-
-        self.parts = [tuple(load(p.replace(".ids.npy", f".{x}.npy")) for x in ("ids", "ths", "upto", "lines")) for p in found]
+        self.parts = [tuple(load_array(system, p.replace(".ids.npy", f".{x}.npy")) for x in ("ids", "ths", "upto", "lines")) for p in found]
         self.lasts = np.array([p[0][-1] for p in self.parts], np.int64)
 
     def get(self, doc: int, th: int) -> np.ndarray | None:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import sorted_ids
 from spanloom.llm.bpe import blocks
-from spanloom.llm.common import atomic_file, filesystem, materialise, shared_dir
+from spanloom.llm.common import atomic_file, filesystem, load_array, materialise, save_array, shared_dir
 from spanloom.llm.components import components
 
 LENGTH, CHUNKS = 65, 13
@@ -201,10 +201,7 @@ def store_sets(df: DataFrame, chosen: str, words: int) -> str:
 
         held = [np.stack([np.asarray(c) for c in b.columns], 1) for b in batches if b.num_rows]
         if held:
-            with atomic_file(folder, f"index-{TaskContext.get().partitionId():06d}.npy") as stream:
-                array = np.ascontiguousarray(np.concatenate(held), "<i8")
-                np.lib.format.write_array_header_1_0(stream, {"descr": "<i8", "fortran_order": False, "shape": array.shape})
-                stream.write(array.tobytes())
+            save_array(folder, f"index-{TaskContext.get().partitionId():06d}.npy", np.concatenate(held))
         yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64())], names=["n"])
 
     index.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(indexed, "n long").write.parquet(f"{folder}-indexed")
@@ -215,21 +212,13 @@ class Sets:
     """The stored sets by id. Index and sets are mapped into memory on a local file system, else read by byte ranges."""
 
     def __init__(self, folder: str):
-        import io
-
         from pyarrow import fs
 
         self.system, self.root = filesystem(folder)
         self.local = isinstance(self.system, fs.LocalFileSystem)
         found = sorted(f.path for f in self.system.get_file_info(fs.FileSelector(self.root)) if f.base_name.startswith("index-"))
 
-        def load(path):
-            if self.local:
-                return np.load(path, mmap_mode="r")
-            with self.system.open_input_stream(path) as s:
-                return np.load(io.BytesIO(s.read()))
-
-        self.index = [load(p) for p in found]
+        self.index = [load_array(self.system, p) for p in found]
         self.firsts = np.array([x[0, 0] for x in self.index], np.int64)
         self.files: dict[int, object] = {}
 

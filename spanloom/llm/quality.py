@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.bpe import blocks
-from spanloom.llm.common import atomic_file, filesystem, materialise, shared_dir
+from spanloom.llm.common import filesystem, load_array, materialise, save_array, shared_dir
 
 ORDER = 5
 PAD = "\x02"
@@ -208,10 +208,7 @@ def store(tables, folder: str) -> None:
                 held.setdefault(name, []).append((h[names == name], v[names == name]))
         for name, pieces in held.items():
             for what, i in (("keys", 0), ("values", 1)):
-                with atomic_file(f"{folder}/{name}", f"part-{part:06d}.{what}.npy") as stream:
-                    array = np.concatenate([p[i] for p in pieces])
-                    np.lib.format.write_array_header_1_0(stream, {"descr": array.dtype.str, "fortran_order": False, "shape": array.shape})
-                    stream.write(array.tobytes())
+                save_array(f"{folder}/{name}", f"part-{part:06d}.{what}.npy", np.concatenate([p[i] for p in pieces]))
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([sum(len(p[0]) for p in pieces)], pa.int64())], names=["name", "part", "entries"])
 
     every.repartitionByRange("h").sortWithinPartitions("h").mapInArrow(run, "name string, part int, entries long").write.parquet(f"{folder}/parts")
@@ -221,23 +218,11 @@ class HashArray:
     """A stored table: sorted parts, mapped into memory where the file system is local."""
 
     def __init__(self, folder: str, name: str):
-        import os
-
         from pyarrow import fs
 
         system, root = filesystem(f"{folder}/{name}")
         found = sorted(f.path for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(".keys.npy"))
-
-        def load(path):
-            if isinstance(system, fs.LocalFileSystem) and os.path.getsize(path) > 128:
-                return np.load(path, mmap_mode="r")
-            with system.open_input_stream(path) as s:
-                data = s.read()
-            import io
-
-            return np.load(io.BytesIO(data))
-
-        self.parts = [(load(p), load(p.replace(".keys.npy", ".values.npy"))) for p in found]
+        self.parts = [(load_array(system, p), load_array(system, p.replace(".keys.npy", ".values.npy"))) for p in found]
         self.firsts = np.array([k[0] for k, _ in self.parts], np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
@@ -297,9 +282,7 @@ def loaded(folder: str) -> Model:
 
 
 class Scorer:
-    """Bits per n-gram with a memory of what it has looked up, emptied when it grows beyond LIMIT entries."""
-
-    LIMIT = 400_000
+    """Bits of texts; each distinct n-gram of a group of texts is looked up once."""
 
     def __init__(self, m: Model):
         self.model = m

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import atomic_file, filesystem, shared_dir
+from spanloom.llm.common import filesystem, load_array, save_array, shared_dir
 
 
 def store(ids: DataFrame, column: str) -> str:
@@ -26,9 +26,7 @@ def store(ids: DataFrame, column: str) -> str:
         held = [b.column(0).to_numpy() for b in batches]
         array = np.concatenate(held) if held else np.empty(0, np.int64)
         if len(array):
-            with atomic_file(folder, f"part-{part:06d}.npy") as stream:
-                np.lib.format.write_array_header_1_0(stream, {"descr": "<i8", "fortran_order": False, "shape": array.shape})
-                stream.write(np.ascontiguousarray(array, "<i8").tobytes())
+            save_array(folder, f"part-{part:06d}.npy", array)
         yield pa.RecordBatch.from_arrays([pa.array([len(array)], pa.int64())], names=["n"])
 
     distinct = ids.select(F.col(column).cast("long").alias("id")).where("id IS NOT NULL").distinct()
@@ -38,20 +36,11 @@ def store(ids: DataFrame, column: str) -> str:
 
 class SortedIds:
     def __init__(self, folder: str):
-        import io
-
         from pyarrow import fs
 
         system, root = filesystem(folder)
         found = sorted(f.path for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.startswith("part-"))
-
-        def load(path):
-            if isinstance(system, fs.LocalFileSystem):
-                return np.load(path, mmap_mode="r")
-            with system.open_input_stream(path) as s:
-                return np.load(io.BytesIO(s.read()))
-
-        self.parts = [load(p) for p in found]
+        self.parts = [load_array(system, p) for p in found]
         self.firsts = np.array([p[0] for p in self.parts], np.int64)
 
     def has(self, ids: np.ndarray) -> np.ndarray:

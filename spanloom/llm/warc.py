@@ -101,6 +101,10 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     ) if revisits.limit(1).count() else rows.withColumn("owner", F.lit(None).cast("long"))
     shaped = with_owner.select(F.expr("r.page_id") if "sha1" in with_owner.columns else F.col("page_id"), "url", "payload", "owner")
 
+    if "sha1" in with_owner.columns:
+        # A join's order may differ from one attempt of a task to the next; sorted, every attempt writes the same file.
+        shaped = shaped.sortWithinPartitions("page_id", "url")
+
     def run(batches):
         from pyspark import TaskContext
 
