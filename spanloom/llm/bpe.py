@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from spanloom.llm.common import tidy
+
 CACHE_ENTRIES = 250_000
 #: Longer pieces are encoded each time they occur, and cut at forced pairs first.
 CACHE_CHARS = 24
@@ -145,6 +147,11 @@ class ByteBPE:
         parts = [array("i", [self.special[p]]).tobytes() if p in self.special else self._plain(p) for p in self._special.split(text)]
         return np.frombuffer(b"".join(parts), np.int32)
 
+    def forget(self) -> None:
+        """Empties the look-up tables."""
+        self._pieces.clear()
+        self._mapped.clear()
+
     def decode(self, ids) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
         get = self._bytes.get
@@ -166,7 +173,7 @@ def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBa
 
 
 #: Rows of a batch are worked off in blocks of about so many characters, which bounds a worker's memory.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def blocks(batch: pa.RecordBatch, column: str):
@@ -188,9 +195,13 @@ def blocks(batch: pa.RecordBatch, column: str):
         start = end
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """df with the BPE ids of a text column as array<int>."""
-    schema = T.StructType([*[f for f in df.schema if f.name != out], T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """df with the BPE ids of a text column as array<int>; with decoded, also a column of that name with the text that the ids decode to.
+
+    Both in one pass keep one Python worker for each core; encode() and decode() in one stage keep two.
+    """
+    added = [T.StructField(out, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.StringType(), False)] if decoded else [])]
+    schema = T.StructType([*[f for f in df.schema if f.name not in (out, decoded)], *added])
 
     def run(batches):
         bpe = codec(path)
@@ -200,7 +211,10 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
                 at = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=at[1:])
                 flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                yield _replaced(part, out, pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32())))
+                result = _replaced(part, out, pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32())))
+                yield _replaced(result, decoded, pa.array([bpe.decode(x.tolist()) for x in ids], pa.string())) if decoded else result
+        bpe.forget()
+        tidy()
 
     return df.mapInArrow(run, schema)
 

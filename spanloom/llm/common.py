@@ -109,3 +109,13 @@ def or_empty(column: str):
 def let(value, body):
     """body(value) with the value computed once, however often the body (its lambdas included) uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def tidy() -> None:
+    """Gives freed memory of a Python worker back to the system at a task's end; workers outlive tasks, and the next may need it elsewhere."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

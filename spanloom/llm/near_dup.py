@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import sorted_ids
 from spanloom.llm.bpe import blocks
-from spanloom.llm.common import atomic_file, filesystem, load_array, materialise, save_array, shared_dir
+from spanloom.llm.common import atomic_file, filesystem, load_array, materialise, save_array, shared_dir, tidy
 from spanloom.llm.components import components
 
 LENGTH, CHUNKS = 65, 13
@@ -61,7 +61,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """The 8-byte hash of each word, looked up; emptied when it has LIMIT words."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> bytes:
         import xxhash
@@ -139,6 +139,8 @@ def sketches(df: DataFrame, words: int) -> DataFrame:
                     prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     sigs.append(signature(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "n", "print", "sig"])
+        del shingler
+        tidy()
 
     return df.mapInArrow(run, "id long, n long, print binary, sig binary")
 

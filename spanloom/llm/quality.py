@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.bpe import blocks
-from spanloom.llm.common import filesystem, load_array, materialise, save_array, shared_dir
+from spanloom.llm.common import filesystem, load_array, materialise, save_array, shared_dir, tidy
 
 ORDER = 5
 PAD = "\x02"
@@ -35,7 +35,7 @@ SPREAD, FLOOR = 6.0, 0.12
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SUBBLOCK_CHARS = 1_000_000
+SUBBLOCK_CHARS = 500_000
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACES = " \t\n\x0b\x0c\r"
@@ -135,6 +135,7 @@ def counts(df: DataFrame, lang: str, text: str) -> DataFrame:
                         whole = np.ascontiguousarray(grams).tobytes().decode("utf-32-le", "surrogatepass")
                         g = [whole[i:i + ORDER] for i in range(0, len(whole), ORDER)]
                         yield pa.RecordBatch.from_arrays([pa.array([language] * len(g), pa.string()), pa.array(g, pa.string()), pa.array(n, pa.int64())], names=["lang", "g", "c"])
+        tidy()
 
     rows = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "lang string, g string, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
@@ -361,6 +362,7 @@ def score(df: DataFrame, folder: str, lang: str = "lang", text: str = "text") ->
                 size = np.array([len(x) for x in texts])
                 mean = pa.array(bits / np.maximum(size, 1), mask=size == 0)
                 yield pa.RecordBatch.from_arrays([*[part.column(names.index(f.name)) for f in keep], *map(pa.array, features(texts)), mean], names=[*[f.name for f in keep], *FEATURES, "bits"])
+        tidy()
 
     return df.mapInArrow(run, schema)
 

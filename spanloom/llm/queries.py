@@ -23,9 +23,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
     path = path or vocabulary("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, path).select("doc_id", "ids")
-    decoded = bpe.decode(encoded, path)
-    return decoded.select(
+    coded = bpe.encode(docs, path, decoded="decoded")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

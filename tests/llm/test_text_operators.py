@@ -58,6 +58,8 @@ def test_bpe_frames(spark):
     out = bpe.decode(bpe.encode(df, BYTE), BYTE)
     assert out.columns == ["doc_id", "text", "ids", "decoded"]
     assert sorted((r.text or "", r.decoded, len(r.ids)) for r in out.collect()) == [("", "", 0), ("", "", 0), ("a b", "a b", 2), ("é", "é", 1)]
+    both = bpe.encode(df, BYTE, decoded="decoded")
+    assert both.columns == out.columns and sorted(map(str, both.collect())) == sorted(map(str, out.collect()))
     assert bpe.encode(df.limit(0), BYTE).count() == 0
 
 
