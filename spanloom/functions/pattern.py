@@ -137,7 +137,12 @@ class Regex:
                 return t == whole
             return t.startswith(whole) if p.anchored_start else t.endswith(whole) if p.anchored_end else t.contains(whole)
         if p.unsafe:
-            return self._arrow("boolean", pa.bool_(), lambda e, s, _: e.at(s, 0) is not None, column(c))
+            slow = lambda x: self._arrow("boolean", pa.bool_(), lambda e, s, _: e.at(s, 0) is not None, x)
+            if not p.required:
+                return slow(column(c))
+            # The automaton runs over the whole of each text that holds what every match holds; the other texts reach it as nulls.
+            held = t.contains(F.lit(p.required))
+            return F.when(held, slow(F.when(held, column(c)))).otherwise(held)
         test = t.rlike(p.java)
         for known in ([t.startswith(F.lit(p.starts))] if p.starts else []) + ([t.endswith(F.lit(p.ends))] if p.ends else []) + ([t.contains(F.lit(p.required))] if p.required and p.required not in p.starts + "\0" + p.ends else []):
             test = known & test

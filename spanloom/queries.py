@@ -361,4 +361,4 @@ def rx_metadata(spark, sf_dir):
 @query()
 def rx_linear_time(spark, sf_dir):
     """A pattern on which backtracking would recurse once for each character goes to the automaton."""
-    return docs(spark, sf_dir).select("doc_id", Regex("(?:[a-z]+ ?)*qq!").is_match(F.substring("text", 1, 400)).alias("found"))
+    return docs(spark, sf_dir).select("doc_id", Regex("(?:[a-z]+ ?)*qq!").is_match("text").alias("found"))
