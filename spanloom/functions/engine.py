@@ -75,6 +75,10 @@ class Engine:
             at = last = m[1]
 
 
+class OffsetError(ValueError):
+    """An offset at which no character of the text starts or ends."""
+
+
 class Offsets:
     """Character offsets of a text to UTF-8 byte offsets, and back; both ways in one pass over ascending arguments or by search."""
 
@@ -92,12 +96,17 @@ class Offsets:
         return self.byte
 
     def chars(self, byte: int) -> int:
-        """ValueError where the byte offset lies within a character or beyond the text."""
+        """OffsetError where the byte offset lies within a character, beyond the text or before it."""
         if self.plain:
-            if byte > len(self.text):
-                raise ValueError("offset beyond the text")
-            return byte
-        raw = self.text.encode("utf-8", "surrogatepass")
-        if byte > len(raw) or (byte < len(raw) and raw[byte] & 0xC0 == 0x80):
-            raise ValueError("offset beyond the text or within a character")
+            return self.inside(byte)
+        # So many characters and one more have more bytes than are asked for, unless the text ends before.
+        raw = self.text[:max(byte, 0) + 1].encode("utf-8", "surrogatepass")
+        if not 0 <= byte <= len(raw) or (byte < len(raw) and raw[byte] & 0xC0 == 0x80):
+            raise OffsetError("offset outside the text or within a character")
         return len(raw[:byte].decode("utf-8", "surrogatepass"))
+
+    def inside(self, char: int) -> int:
+        """OffsetError where the character offset lies beyond the text or before it."""
+        if not 0 <= char <= len(self.text):
+            raise OffsetError("offset outside the text")
+        return char

@@ -3,7 +3,7 @@
 Each method takes a column of text (StringType, or BinaryType if the pattern was built with ``bytes_mode=True``) and returns a lazy Column. Existence, counts,
 sums, splits and replacements are Spark's own functions wherever those give the right answer, with the pattern's literals as prefilters
 that reach the Parquet reader; spans, captures and windows come from Arrow functions. A null text gives null. Offsets are those of UTF-8 bytes,
-ends exclusive (``chars=True`` gives code points).
+ends exclusive (``chars=True`` gives code points). Where an offset that is asked for lies within a character or outside the text, the answer is null.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import regex as _regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanloom.functions.engine import Engine, Offsets
+from spanloom.functions.engine import Engine, OffsetError, Offsets
 from spanloom.plans.syntax import Alt, Cat, Group, LimitError, Node, Options, PatternError, Repeat, UnsupportedPattern, check_rewrite, escape, parse, quote_meta
 from spanloom.plans.translate import plan
 
@@ -111,7 +111,7 @@ class Regex:
         return F.encode(c, "ISO-8859-1") if self._bytes else c
 
     def _arrow(self, result: str, kind: pa.DataType, function: Callable, *columns: Column) -> Column:
-        """function(engine, text, offsets, *arguments) over the rows in which nothing is null."""
+        """function(engine, text, offsets, *arguments) over the rows in which nothing is null; null where an offset is none of the text's."""
         source, options, raw = self.source, self.options, self._bytes
 
         def run(*arrays: pa.Array) -> pa.Array:
@@ -121,7 +121,10 @@ class Regex:
                     out.append(None)
                 else:
                     text = row[0].decode("latin-1") if raw else row[0]
-                    out.append(function(engine, text, Bytes(text) if raw else Offsets(text), *row[1:]))
+                    try:
+                        out.append(function(engine, text, Bytes(text) if raw else Offsets(text), *row[1:]))
+                    except OffsetError:
+                        out.append(None)
             return pa.array(out, kind)
 
         return F.arrow_udf(run, result)(*columns)
@@ -161,7 +164,7 @@ class Regex:
         return self._arrow(SPAN, _PA_SPAN, lambda e, s, o: _span(e.at(s, 0), o, chars), column(c))
 
     def find_at(self, c: Column | str, start: Column | int, chars: bool = False) -> Column:
-        return self._arrow(SPAN, _PA_SPAN, lambda e, s, o, i: _span(e.at(s, i if chars else o.chars(i)), o, chars), column(c), _whole(start))
+        return self._arrow(SPAN, _PA_SPAN, lambda e, s, o, i: _span(e.at(s, o.inside(i) if chars else o.chars(i)), o, chars), column(c), _whole(start))
 
     def find_window(self, c: Column | str, start: Column | int, end: Column | int) -> Column:
         return self._arrow(SPAN, _PA_SPAN, lambda e, s, o, i, j: _span(e.window(s, o.chars(i), o.chars(j)), o, False), column(c), _whole(start), _whole(end))
@@ -178,7 +181,7 @@ class Regex:
 
     def find_iter(self, c: Column | str, chars: bool = False, start: Column | int = 0, limit: int | None = None) -> Column:
         """All spans, leftmost first. A limit refuses texts with more matches (the query fails) instead of cutting the answer."""
-        spans = self._arrow(f"array<{SPAN}>", pa.list_(_PA_SPAN), lambda e, s, o, i: [_span(m, o, chars) for m in (e.each(s, i if chars else o.chars(i)) if i else e.spans(s))], column(c), _whole(start))
+        spans = self._arrow(f"array<{SPAN}>", pa.list_(_PA_SPAN), lambda e, s, o, i: [_span(m, o, chars) for m in (e.each(s, o.inside(i) if chars else o.chars(i)) if i else e.spans(s))], column(c), _whole(start))
         return spans if limit is None else limited(spans, limit)
 
     def shortest_match(self, c: Column | str, start: Column | int = 0, end: Column | int | None = None) -> Column:
@@ -411,10 +414,12 @@ class Bytes:
         return char
 
     def chars(self, byte: int) -> int:
-        if byte > self.n:
-            raise ValueError("offset beyond the text")
+        if not 0 <= byte <= self.n:
+            raise OffsetError("offset outside the text")
         return byte
 
+    inside = chars
+
 
 def _whole(value: Column | int) -> Column:
     return F.lit(value).cast("bigint") if isinstance(value, int) else value.cast("bigint")

@@ -54,8 +54,9 @@ class RegexSet:
         return F.when(column(c).isNotNull(), F.array_compact(F.array(*each)) if each else F.array().cast("array<int>"))
 
     def matches_at(self, c: Column | str, start: Column | int) -> Column:
-        each = [F.when(r.is_match_at(c, start), F.lit(i)) for i, r in enumerate(self.members)]
-        return F.when(column(c).isNotNull(), F.array_compact(F.array(*each)) if each else F.array().cast("array<int>"))
+        at = [r.is_match_at(c, start) for r in self.members]
+        # The members share the text and the offset, so all are null or none is.
+        return F.when(at[0].isNotNull(), F.array_compact(F.array(*[F.when(x, F.lit(i)) for i, x in enumerate(at)]))) if at else F.when(column(c).isNotNull(), F.array().cast("array<int>"))
 
     def matches_added(self, flags: Column | str, c: Column | str) -> Column:
         """Places already found together with those that match."""
