@@ -2,7 +2,8 @@
 
 The base spans are those of fixed patterns on the text as it is. Then, where a text holds a sign of disguise, transducers
 rewrite it: look-alike characters and foreign digits become ASCII (one for one), invisible characters go, spelled-out digits become
-digits, and bracketed or spelled "at" and "dot" become @ and full stops. Each rewriting carries the source
+digits (four in a row, or any beside figures), and bracketed or spelled "at" and "dot" become @ and full stops. About a spelled "at" both
+parts may hold spelled and literal dots, and any word of letters may be the top label (only a well-known one after "point"). Each rewriting carries the source
 offsets of every character, so what is then detected maps back to source characters exactly. A span found this way is added if
 it holds a rewritten character and no base span of its kind already covers it; base spans always stay.
 
@@ -93,13 +94,17 @@ _WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
 _DOT = r"(?:dot|punkt|point|punto)"
 _AT = r"(?:at|arroba)"
 _SEP = r"[\x20,-]{1,2}"
-#: Four digit words or more in a row, with dots between them, and a plus before: one number.
-_SPELLED = re.compile(rf"(?<!\w)(?:plus{_SEP})?{_WORD}(?:{_SEP}(?:{_DOT}{_SEP})?{_WORD}){{3,}}(?!\w)", re.I)
-_SPELLED_PART = re.compile(rf"(?P<w>{_WORD})|(?P<dot>{_DOT})|(?P<plus>plus)|[\x20,-]+", re.I)
+_FIGURES = r"[0-9]++(?:\.[0-9]++)*+"
+#: Digit words and figures in a row, with dots between them, and a plus before: one number, if _spelled() finds enough in it.
+_SPELLED = re.compile(rf"(?:(?<!\w)(?:plus{_SEP})?{_WORD}|(?<!\w)plus{_SEP}{_FIGURES}|(?<![\w.]){_FIGURES})(?!\w)(?:{_SEP}(?:{_DOT}{_SEP})?(?:{_WORD}|{_FIGURES})(?!\w))++", re.I)
+_SPELLED_PART = re.compile(rf"(?P<w>{_WORD})|(?P<figures>{_FIGURES})|(?P<dot>{_DOT})|(?P<plus>plus)|[\x20,-]+", re.I)
 _BRACKETED = re.compile(rf"\x20?[\[({{<]\x20?(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\x20?[\])}}>]\x20?", re.I)
 _TOP = "(?:com|org|net|edu|gov|info|biz|dev|app|int|mil|eu|io|ai|co|uk|us|de|fr|es|at|ch|nl|be|it|pl|pt|se|no|dk|fi|ca|au|nz|jp|cn|in|br|ru)"
-_PLAIN = re.compile(rf"(?<![\w.%+-])[a-z0-9_%+-]{{1,64}}(?:\x20{_DOT}\x20[a-z0-9_%+-]{{1,64}}){{0,4}}(?P<at>\x20{_AT}\x20)[a-z0-9-]{{1,63}}(?:\x20{_DOT}\x20[a-z0-9-]{{1,63}}){{0,4}}\x20{_DOT}\x20{_TOP}(?![\w-])", re.I)
-_PLAIN_PART = re.compile(rf"\x20(?:(?P<at>{_AT})|(?P<dot>{_DOT}))\x20", re.I)
+#: An at, spelled or not, and the labels after it; labels end before the last dot that is none of theirs.
+_PLAIN = re.compile(rf"(?:(?P<at>\x20{_AT}\x20)|@)(?P<labels>[A-Za-z0-9-]++(?:(?:\.|\x20{_DOT}\x20)[A-Za-z0-9-]++)++)(?!\w)", re.I)
+_PLAIN_DOT = re.compile(rf"\x20({_DOT})\x20", re.I)
+_LABEL, _TOP_LABEL = re.compile(r"[A-Za-z]{2,}"), re.compile(_TOP, re.I)
+_DOT_LENGTHS = sorted({len(x) + 2 for x in _DOT[3:-1].split("|")})
 
 
 @functools.cache
@@ -142,17 +147,78 @@ class Traced:
 
 
 def _spelled(m):
-    for p in _SPELLED_PART.finditer(m.string, m.start(), m.end()):
-        yield p.start(), p.end(), str(_DIGIT_WORDS[p["w"].lower()]) if p["w"] else "." if p["dot"] else "+" if p["plus"] else ""
+    """Four digit words or more, or any digit word or dot among figures. Separators go, but for those between figures."""
+    parts = list(_SPELLED_PART.finditer(m.string, m.start(), m.end()))
+    words, figures = sum(p["w"] is not None for p in parts), any(p["figures"] for p in parts)
+    if words < 4 and not (figures and any(p["w"] or p["dot"] or p["plus"] for p in parts)):
+        return
+    for k, p in enumerate(parts):
+        if p["w"] or p["dot"] or p["plus"]:
+            yield p.start(), p.end(), str(_DIGIT_WORDS[p["w"].lower()]) if p["w"] else "." if p["dot"] else "+"
+        elif not p["figures"] and not (parts[k - 1]["figures"] and parts[k + 1]["figures"]):
+            yield p.start(), p.end(), ""
 
 
 def _marks(m):
     yield m.start(), m.end(), "@" if m["at"] else "."
 
 
-def _plain(m):
-    for p in _PLAIN_PART.finditer(m.string, m.start(), m.end()):
-        yield p.start(), p.end(), "@" if p["at"] else "."
+def _domain(m) -> list[tuple[int, int]] | None:
+    """The spelled dots of the domain after an at: up to the last label that is a well-known top one, else to the last of letters alone.
+
+    A "point" is seldom a dot, so only a well-known label may end the domain after it. The labels that follow a spelled dot too many are not taken.
+    """
+    dots = [(p.start(), p.end(), p[1].lower()) for p in _PLAIN_DOT.finditer(m.string, m.start("labels"), m.end())]
+    ends = [*[i for i, _, _ in dots], m.end()]
+    best = known = -1
+    for k, end in enumerate(ends):
+        begin = dots[k - 1][1] if k else m.start("labels")
+        label = m.string[max(begin, m.string.rfind(".", begin, end) + 1):end]
+        if k == 0 and "." not in m.string[begin:end]:
+            continue
+        top = _TOP_LABEL.fullmatch(label) is not None
+        if top:
+            known = k
+        if _LABEL.fullmatch(label) and (top or k == 0 or dots[k - 1][2] != "point" or "." in m.string[begin:end]):
+            best = k
+    best = best if known < 0 else known
+    return None if best < 0 else [(i, j) for i, j, _ in dots[:best]]
+
+
+def _local(text: str, end: int, floor: int) -> list[tuple[int, int]] | None:
+    """The spelled dots, last first, of the local part that ends there, or None if there is none."""
+    dots, at = [], end
+    while True:
+        while at > floor and _LOCAL.match(text, at - 1):
+            at -= 1
+        if at == end:  # what seemed to be a dot has nothing before it
+            return dots[:-1] if dots else None
+        spelled = next((n for n in _DOT_LENGTHS if at - n >= floor and _PLAIN_DOT.fullmatch(text, at - n, at)), 0)
+        if not spelled:
+            return dots
+        dots.append((at - spelled, at))
+        at = end = at - spelled
+
+
+def _plain():
+    """The pieces of _PLAIN's matches, one after the other; a local part starts after the address before it."""
+    floor = 0
+
+    def pieces(m):
+        nonlocal floor
+        after = _domain(m)
+        before = None if after is None else _local(m.string, m.start(), floor)
+        if before is None:
+            return
+        floor = m.end()
+        for i, j in before[::-1]:
+            yield i, j, "."
+        if m["at"]:
+            yield m.start("at"), m.end("at"), "@"
+        for i, j in after:
+            yield i, j, "."
+
+    return pieces
 
 
 def normalised(text: str) -> Traced | None:
@@ -163,14 +229,15 @@ def normalised(text: str) -> Traced | None:
         t.rewritten(_INVISIBLE, lambda m: [(m.start(), m.end(), "")])
     t.rewritten(_SPELLED, _spelled)
     t.rewritten(_BRACKETED, _marks)
-    t.rewritten(_PLAIN, _plain)
+    t.rewritten(_PLAIN, _plain())
     return t if len(t.text) != len(text) or any(t.new) else None
 
 
 # Signs of disguise, looked for in lower-cased texts of settled characters; each starts at a rare character or after a space.
 _SIGN_DIGITS = re.compile(rf"[^\w](?:{_WORD}){_SEP}(?:{_DOT}{_SEP})?{_WORD}{_SEP}(?:{_DOT}{_SEP})?{_WORD}{_SEP}")
 _SIGN_BRACKET = re.compile(rf"[\[({{<]\x20?(?:{_AT}|{_DOT}|@|\.)\x20?[\])}}>]")
-_SIGN_PLAIN = re.compile(rf"\x20{_DOT}\x20{_TOP}(?![\w-])")
+_SIGN_PLAIN = re.compile(rf"\x20{_AT}\x20[a-z0-9-]++(?:\.|\x20{_DOT}\x20)[a-z0-9]|@[a-z0-9.-]++\x20{_DOT}\x20[a-z]|[a-z0-9]\x20{_DOT}\x20[a-z0-9._%+-]++@")
+_SIGN_FIGURES = re.compile(rf"[0-9]{_SEP}(?:{_DOT}{_SEP})?{_WORD}(?!\w)|[0-9]{_SEP}{_DOT}{_SEP}[0-9]|(?<!\w)(?:{_WORD}|plus){_SEP}(?:{_DOT}{_SEP})?[0-9]")
 #: A spelled number of four words has two of these at least, whatever its language.
 _DIGIT_START = re.compile(rf"[\x20,-]{_WORD}[\x20,-]")
 
@@ -180,11 +247,11 @@ def disguised(text: str) -> bool:
     if not SETTLED.fullmatch(text):
         return True
     low = text.lower()
-    if (" dot " in low or " punkt " in low or " point " in low or " punto " in low) and _SIGN_PLAIN.search(low):
+    if (" at " in low or " arroba " in low or "@" in low) and _SIGN_PLAIN.search(low):
         return True
     if ("(" in low or "[" in low or "{" in low or "<" in low) and _SIGN_BRACKET.search(low):
         return True
-    return bool(_DIGIT_START.search(low) and _SIGN_DIGITS.search("\n" + low))
+    return bool(_DIGIT_START.search(low) and _SIGN_DIGITS.search("\n" + low)) or bool(_SIGN_FIGURES.search(low))
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
