@@ -1,7 +1,7 @@
 """Secret scans: keyword, access-key and hex rules, and sliding-window entropy (DataFrame functions only).
 
-Besides the three rules, any long unbroken string is a candidate. Its character class (hexadecimal or base-64 like)
-fixes a window and a threshold. A window slides over the candidate; the sum of c log c over its character counts is kept
+Besides the three rules, any long unbroken string (base-64 like characters) is a candidate, and so is any long run of hexadecimal
+digits, also within such a string. The character class fixes a window and a threshold. A window slides over the candidate; the sum of c log c over its character counts is kept
 up step by step, from the counts of just the character that leaves and the one that comes, so the Shannon entropy
 of each window follows at once. The span from the first to the last window that reaches the threshold is reported
 with kind "entropy", unless an allow-list suppresses the candidate: UUIDs, strings of one character class without digits or without letters,
@@ -27,6 +27,8 @@ HEX = r"[0-9a-f]+"
 #: For HEX with its least length; runs are maximal either way, and the short ones needn't be built.
 LONG_HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
+#: Maximal runs of hexadecimal digits as long as their window, wherever they stand.
+HEX_RUN = r"[0-9A-Fa-f]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 #: Window and least bits for each class of characters.
 CLASSES = {"hex": (20, 3.0), "base64": (24, 3.9)}
@@ -80,15 +82,21 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     hexes = F.when(t.rlike(LONG_HEX), F.transform(found(t, LONG_HEX), span("hex"))).otherwise(empty)
     base = df.drop("secrets").withColumns({"_assign": assign, "_access": access, "_hex": hexes}).withColumn("_base", F.concat("_assign", "_access", "_hex")).drop("_assign", "_access", "_hex")
 
-    def judged(x: Column) -> Column:
-        hexlike = x["match"].rlike("^[0-9A-Fa-f]+$")
-        hits = F.when(hexlike, entropy_span(x["match"], *CLASSES["hex"])).otherwise(entropy_span(x["match"], *CLASSES["base64"]))
-        window = F.when(hexlike, CLASSES["hex"][0]).otherwise(CLASSES["base64"][0])
-        return let(hits, lambda hit: F.struct((x["start"] + hit["first"]).alias("start"), (x["start"] + hit["last"] + window).alias("end"), F.lit(KINDS.index("entropy")).alias("rank"), F.lit("entropy").alias("kind")))
+    def judged(kind: str):
+        window, least = CLASSES[kind]
+
+        def one(x: Column) -> Column:
+            return let(entropy_span(x["match"], window, least), lambda hit: F.struct((x["start"] + hit["first"]).alias("start"), (x["start"] + hit["last"] + window).alias("end"), F.lit(KINDS.index("entropy")).alias("rank"), F.lit("entropy").alias("kind")))
+
+        return one
 
     free = lambda x: ~x["match"].rlike(ALLOWED) & ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    entropy = F.when(t.rlike(CANDIDATE), F.filter(F.transform(F.filter(found(t, CANDIDATE), free), judged), lambda x: x["start"].isNotNull())).otherwise(empty)
-    return base.withColumn("secrets", F.array_sort(F.concat("_base", entropy))).drop("_base")
+    mixed = lambda x: ~x["match"].rlike("^[0-9A-Fa-f]+$") & free(x)
+    entropy = lambda pattern, fit, kind: F.when(t.rlike(pattern), F.filter(F.transform(F.filter(found(t, pattern), fit), judged(kind)), lambda x: x["start"].isNotNull())).otherwise(empty)
+    both = base.withColumns({"_runs": entropy(HEX_RUN, free, "hex"), "_long": entropy(CANDIDATE, mixed, "base64")})
+    # A run within what its candidate shows is no finding of its own.
+    runs = F.filter("_runs", lambda x: ~F.exists(F.col("_long"), lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
+    return both.withColumn("secrets", F.array_sort(F.concat("_base", runs, "_long"))).drop("_base", "_runs", "_long")
 
 
 def joined(spans: Column) -> Column:

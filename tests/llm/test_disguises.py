@@ -4,7 +4,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from spanloom.llm import pii  # noqa: E402
+from spanloom.llm import pii, secrets  # noqa: E402
 
 
 @pytest.mark.parametrize(
@@ -35,3 +35,13 @@ def test_spelled_addresses_and_numbers(text, found):
 def test_spelled_forms_take_linear_time(unit):
     text = unit * (300_000 // len(unit))
     pii.added_spans(text, pii.base_spans(text))
+
+
+def test_hex_secrets_behind_separators(spark):
+    value = "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B"
+    texts = [f"sig={value}", f"path/{value}", f"_{value}", f"a-{value}-b", value, f"/example/{value}", value[:20], f"x {value[:23]} y", value[:19], "A1" * 20, f"token={value}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r.secrets if s["kind"] == "entropy"] for r in secrets.scan(df).collect()}
+    for i, x in enumerate(texts[:8]):
+        assert any(a <= x.index(value[:20]) and x.index(value[:20]) + 20 <= b for a, b in got[i]), (x, got[i])
+    assert [got[i] for i in (8, 9, 10)] == [[], [], []]
