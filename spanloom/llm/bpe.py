@@ -1,19 +1,17 @@
 """Byte-level BPE encoding and decoding by forced-boundary splitting.
 
 A byte pair that occurs inside no vocabulary token can never be bridged by a merge, so the text may be cut
-between its two bytes and the fragments encoded one by one. The table of these pairs is read off the
-vocabulary. Two kinds of cut follow from it:
+between its two bytes and the fragments encoded one by one. The table of these pairs (256 x 256) is read off the vocabulary. A text's
+bytes are looked up in it all at once; the cuts that it gives, and those of the tokenizer's pre-tokens, part the text into
+fragments. Each fragment is encoded by itself, whatever its length, and the ids are joined. Fragments recur, so the ids of each distinct short one
+are kept in a worker's look-up table, which CACHE_ENTRIES bounds.
 
-* before ASCII white space that follows another character: no token spans such a pair, and the pre-tokenizer parts
-  the text there whatever comes after. Very long texts are cut into chunks here.
-* inside long pre-tokens, at every pair of the table.
+Pre-tokens are found as the tokenizers library finds them (its own pre-tokenizer does it wherever characters occur whose Unicode class
+depends on the version of the tables). Very long texts are worked off in chunks, cut before ASCII white space that follows another
+character: no token spans such a pair, and the pre-tokenizer parts the text there whatever comes after.
 
-Between cuts, the pre-tokens of a fragment are found as the tokenizers library finds them (its own pre-tokenizer does
-it wherever characters occur whose Unicode class depends on the version of the tables). Pieces recur, so each distinct
-short one is encoded once per worker and then looked up; CACHE_ENTRIES bounds the memory of that.
-
-Nulls encode and decode like the empty text, to no ids. Very long texts are cut like any other. Extra columns are
-kept; a column that has the name of an output is replaced.
+Nulls encode and decode like the empty text, to no ids. Very long texts are cut like any other. There are no ties: rows are coded one by one, and
+rows that are equal give equal ids. Empty tables give empty results. Extra columns are kept; a column that has the name of an output is replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +29,7 @@ from pyspark.sql import types as T
 from spanloom.llm.common import tidy
 
 CACHE_ENTRIES = 250_000
-#: Longer pieces are encoded each time they occur, and cut at forced pairs first.
+#: Longer fragments are encoded each time they occur, as they seldom recur.
 CACHE_CHARS = 24
 #: Longer texts are cut into chunks of about so many characters, at the next certain cut.
 CHUNK_CHARS = 1_000_000
@@ -60,8 +58,16 @@ def forced_pairs(tokens) -> np.ndarray:
     return forced
 
 
+def byte_offsets(text: str) -> np.ndarray:
+    """The UTF-8 byte offset of each character of the text, and of its end."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    out = np.zeros(len(c) + 1, np.int64)
+    np.cumsum(1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000), out=out[1:])
+    return out
+
+
 class Bounded(dict):
-    """A look-up table from strings that computes what it lacks and starts afresh when full."""
+    """A look-up table from texts or bytes that computes what it lacks and starts afresh when full."""
 
     def __init__(self, compute):
         super().__init__()
@@ -113,31 +119,46 @@ class ByteBPE:
         wide = [b for b in range(256) if b not in space and not self.forced[b, space].all()]
         if any(b < 0x80 for b in wide):
             raise ValueError(f"{path}: tokens of the vocabulary run on into white space")
-        self._pieces = Bounded(self._piece)
-        self._mapped = Bounded(self._merge)
-
-    def _merge(self, mapped: str) -> bytes:
-        """Ids of a pre-token that is given with one character for each byte, cut at forced pairs if it is long."""
-        if len(mapped) <= CACHE_CHARS:
-            return array("i", [t.id for t in self._model.tokenize(mapped)]).tobytes()
-        raw = np.array([_BYTE_OF[c] for c in mapped], np.uint8)
-        at = [0, *(np.flatnonzero(self.forced[raw[:-1], raw[1:]]) + 1).tolist(), len(mapped)]
-        return array("i", [t.id for i, j in zip(at, at[1:]) for t in self._model.tokenize(mapped[i:j])]).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        return self._merge(piece.encode().decode("latin-1").translate(self._char))
+        self._fragments = Bounded(self._encoded)
+        #: Fragments so far, and how many of their bounds were forced ones inside a pre-token.
+        self.fragments = self.forced_cuts = 0
+
+    def _encoded(self, fragment: bytes) -> bytes:
+        """The ids of one fragment."""
+        mapped = fragment.decode("latin-1").translate(self._char)
+        return array("i", [t.id for t in self._model.tokenize(mapped)]).tobytes()
+
+    def _pre_tokens(self, chunk: str, raw: bytes) -> np.ndarray:
+        """Where the chunk's pre-tokens end, in bytes."""
+        if SETTLED.fullmatch(chunk):
+            ends = np.cumsum([len(x) for x in _PIECES.findall(chunk)])
+            return ends if len(raw) == len(chunk) else byte_offsets(chunk)[ends]
+        lengths = []
+        for fragment in _FRAGMENT.findall(chunk):
+            if SETTLED.fullmatch(fragment):
+                lengths += [len(x.encode()) for x in _PIECES.findall(fragment)]
+            else:  # the library shows each byte as one character
+                lengths += [len(x) for x, _ in self._pre.pre_tokenize_str(fragment)]
+        return np.cumsum(lengths)
+
+    def cuts(self, chunk: str, raw: bytes) -> np.ndarray:
+        """All bounds of fragments, 0 and the end included: of forced byte pairs and of pre-tokens."""
+        data = np.frombuffer(raw, np.uint8)
+        bound = np.zeros(len(raw) + 1, bool)
+        bound[1:-1] = self.forced[data[:-1], data[1:]]
+        forced = int(np.count_nonzero(bound))
+        ends = self._pre_tokens(chunk, raw)
+        self.forced_cuts += forced - int(np.count_nonzero(bound[ends]))
+        bound[ends] = bound[0] = True
+        return np.flatnonzero(bound)
 
     def _plain(self, text: str) -> bytes:
         out = []
         for chunk in chunks(text):
-            if SETTLED.fullmatch(chunk):
-                out += map(self._pieces.__getitem__, _PIECES.findall(chunk))
-            else:
-                for fragment in _FRAGMENT.findall(chunk):
-                    if SETTLED.fullmatch(fragment):
-                        out += map(self._pieces.__getitem__, _PIECES.findall(fragment))
-                    else:
-                        out += [self._mapped[w] for w, _ in self._pre.pre_tokenize_str(fragment)]
+            if raw := chunk.encode():
+                at = self.cuts(chunk, raw).tolist()
+                self.fragments += len(at) - 1
+                out += map(self._fragments.__getitem__, [raw[i:j] for i, j in zip(at, at[1:])])
         return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
@@ -148,9 +169,8 @@ class ByteBPE:
         return np.frombuffer(b"".join(parts), np.int32)
 
     def forget(self) -> None:
-        """Empties the look-up tables."""
-        self._pieces.clear()
-        self._mapped.clear()
+        """Empties the look-up table."""
+        self._fragments.clear()
 
     def decode(self, ids) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
@@ -158,9 +178,6 @@ class ByteBPE:
         return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
-_BYTE_OF = {c: b for b, c in enumerate(byte_alphabet())}
-
-
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> ByteBPE:
     """One codec for each file and worker process."""

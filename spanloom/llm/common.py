@@ -84,17 +84,126 @@ def save_array(folder: str, name: str, array) -> None:
         stream.write(np.ascontiguousarray(array).tobytes())
 
 
-def load_array(system, path: str):
-    """An array of save_array(): mapped into memory where the file system is local, else read."""
-    import io
+def is_local(system) -> bool:
+    from pyarrow import fs
+
+    return isinstance(system, fs.LocalFileSystem)
+
+
+#: Blocks of files that are at hand in a worker, by path and offset; BLOCKS_HELD at most.
+_blocks: dict = {}
+BLOCKS_HELD = 128
 
+
+def _block(system, path: str, offset: int, dtype, n: int):
+    """n entries of a file from a byte offset on."""
     import numpy as np
+
+    key = (path, offset)
+    if key not in _blocks:
+        with system.open_input_file(path) as source:
+            found = np.frombuffer(source.read_at(n * dtype.itemsize, offset), dtype)
+        while len(_blocks) >= BLOCKS_HELD:  # the one that has gone unused for longest
+            del _blocks[next(iter(_blocks))]
+        _blocks[key] = found
+    else:
+        _blocks[key] = _blocks.pop(key)
+    return _blocks[key]
+
+
+class StoredArray:
+    """A one-dimensional array of save_array(), however large: mapped into memory where the file system is local, else read by blocks of BLOCK entries
+    as they are asked for. No worker ever reads the whole file because it needs one entry."""
+
+    BLOCK = 1 << 15
+
+    def __init__(self, system, path: str):
+        import numpy as np
+
+        self.system, self.path = system, path
+        self.mapped = np.load(path, mmap_mode="r") if is_local(system) else None
+        if self.mapped is not None:
+            self.n, self.dtype = len(self.mapped), self.mapped.dtype
+            return
+        with system.open_input_file(path) as source:
+            np.lib.format.read_magic(source)
+            (self.n,), _, self.dtype = np.lib.format.read_array_header_1_0(source)
+            self.offset = source.tell()
+
+    def __len__(self) -> int:
+        return self.n
+
+    def _part(self, block: int):
+        size = min(self.BLOCK, self.n - block * self.BLOCK)
+        return _block(self.system, self.path, self.offset + block * self.BLOCK * self.dtype.itemsize, self.dtype, size)
+
+    def rows(self, start: int, end: int):
+        """The entries from start to end."""
+        import numpy as np
+
+        if self.mapped is not None:
+            return self.mapped[start:end]
+        if start >= end:
+            return np.empty(0, self.dtype)
+        first, last = start // self.BLOCK, (end - 1) // self.BLOCK
+        whole = np.concatenate([self._part(b) for b in range(first, last + 1)])
+        return whole[start - first * self.BLOCK:end - first * self.BLOCK]
+
+    def at(self, places):
+        """The entries at an array of places."""
+        import numpy as np
+
+        if self.mapped is not None:
+            return self.mapped[places]
+        out = np.empty(len(places), self.dtype)
+        block = places // self.BLOCK
+        for b in np.unique(block).tolist():
+            here = block == b
+            out[here] = self._part(b)[places[here] - b * self.BLOCK]
+        return out
+
+    def find(self, values, side: str = "left"):
+        """Places of the values in the array, which must be ascending, as numpy's searchsorted() gives them."""
+        import numpy as np
+
+        if self.mapped is not None:
+            return np.searchsorted(self.mapped, values, side)
+        values = np.asarray(values)
+        out, stack = np.zeros(len(values), np.int64), [(0, -(-self.n // self.BLOCK), np.arange(len(values)))]
+        while stack:  # blocks lo..hi - 1 hold the places of these values
+            lo, hi, which = stack.pop()
+            if not len(which) or lo == hi:
+                out[which] = min(lo * self.BLOCK, self.n)
+                continue
+            mid = (lo + hi) // 2
+            have, mine = self._part(mid), values[which]
+            before = mine <= have[0] if side == "left" else mine < have[0]
+            after = mine > have[-1] if side == "left" else mine >= have[-1]
+            inside = which[~before & ~after]
+            out[inside] = mid * self.BLOCK + np.searchsorted(have, values[inside], side)
+            stack += [(lo, mid, which[before]), (mid + 1, hi, which[after])]
+        return out
+
+
+def stored_arrays(folder: str, suffix: str = ".npy", prefix: str = "") -> list[StoredArray]:
+    """The arrays of a folder, in order of their names."""
     from pyarrow import fs
 
-    if isinstance(system, fs.LocalFileSystem):
-        return np.load(path, mmap_mode="r")
-    with system.open_input_stream(path) as stream:
-        return np.load(io.BytesIO(stream.read()))
+    system, root = filesystem(folder)
+    found = sorted(f.path for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(suffix) and f.base_name.startswith(prefix or "part-"))
+    return [StoredArray(system, p) for p in found]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has (Spark ignores case), so that a user's columns never clash with internal ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -1,6 +1,7 @@
-"""A set of ids as sorted .npy files in the shared folder, which workers map into memory.
+"""A set of ids as sorted .npy files in the shared folder.
 
-Tests for membership need no shuffle of the rows that are tested, and neither the driver nor a broadcast holds the ids.
+Tests for membership need no shuffle of the rows that are tested, and neither the driver nor a broadcast holds the ids. Workers map the files into
+memory where the file system is local, and else read the blocks that they need (see StoredArray).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import filesystem, load_array, save_array, shared_dir
+from spanloom.llm.common import save_array, shared_dir, stored_arrays
 
 
 def store(ids: DataFrame, column: str) -> str:
@@ -36,12 +37,8 @@ def store(ids: DataFrame, column: str) -> str:
 
 class SortedIds:
     def __init__(self, folder: str):
-        from pyarrow import fs
-
-        system, root = filesystem(folder)
-        found = sorted(f.path for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.startswith("part-"))
-        self.parts = [load_array(system, p) for p in found]
-        self.firsts = np.array([p[0] for p in self.parts], np.int64)
+        self.parts = stored_arrays(folder)
+        self.firsts = np.array([p.rows(0, 1)[0] for p in self.parts], np.int64)
 
     def has(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), bool)
@@ -49,7 +46,7 @@ class SortedIds:
         for p in np.unique(part[part >= 0]):
             at = np.flatnonzero(part == p)
             have = self.parts[p]
-            out[at] = have[np.minimum(np.searchsorted(have, ids[at]), len(have) - 1)] == ids[at]
+            out[at] = have.at(np.minimum(have.find(ids[at]), len(have) - 1)) == ids[at]
         return out
 
 
