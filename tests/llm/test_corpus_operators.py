@@ -263,6 +263,83 @@ def test_line_dedup_cases(spark):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def windows_by_hand(lines, least=50):
+    """(gram start of the least gram, content of the window) of each window, grams compared by the operator's hashes."""
+    hashes = np.array([line_dedup._hash(x.strip()) for x in lines], np.uint64).view(np.int64)
+    return line_dedup.fingerprints(hashes, np.array([len(x.split()) for x in lines], np.int64), least)
+
+
+def test_winnowing_selects():
+    """Density of about 2 / (w + 1), every window's least gram selected, equal windows alike wherever they stand."""
+    rnd = random.Random(5)
+    lines = [" ".join(f"x{rnd.randrange(10**6)}" for _ in range(5)) for _ in range(5000)]  # a window of 10 lines holds 6 grams of 5
+    values, places, upto, windows = windows_by_hand(lines)
+    assert len(windows) == 4991 and len(places) == len(set(places.tolist())) < 1.15 * 2 / 7 * 5000
+    for k in range(len(places)):
+        for i in range(upto[k], upto[k + 1]):
+            assert i <= places[k] <= i + 5
+            for other in range(len(places)):
+                assert not (i <= places[other] <= i + 5 and values[other] < values[k])
+    moved = windows_by_hand(["other words " * 9] + lines[1000:1100] + ["and more " * 9])
+    assert set(windows[1000:1091].tolist()) <= set(moved[3].tolist())
+
+
+def test_winnowing_of_blank_lines_is_linear():
+    import time
+
+    hashes, words = np.full(1_000_000, line_dedup._hash(""), np.uint64).view(np.int64), np.zeros(1_000_000, np.int64)
+    words[-3:] = 30
+    began = time.process_time()
+    values, places, upto, windows = line_dedup.fingerprints(hashes, words)
+    assert time.process_time() - began < 10 and len(places) <= 2 and len(windows) == 999_999
+    assert len(line_dedup.fingerprints(hashes, np.zeros(1_000_000, np.int64))[1]) == 0
+
+
+def test_line_dedup_random_documents(spark):
+    """Mosaics of few lines, blank ones among them, against windows by content; hot firsts, and names that are used within."""
+    rnd = random.Random(16)
+    pool = [" ".join(f"p{rnd.randrange(40)}" for _ in range(rnd.randrange(0, 30))) for _ in range(25)]
+    hot = [f"hot {i} " * 12 for i in range(9)]
+    texts = ["\n".join(rnd.choices(pool, k=rnd.randrange(1, 40))) for _ in range(120)] + ["\n".join([f"own {i}", *hot[rnd.randrange(3):]]) for i in range(300)]
+    rows = list(enumerate(texts)) + [((1 << 63) - 1, "\n".join(hot)), (-(1 << 63), "\n".join(hot[2:]))]
+    df = spark.createDataFrame([(i, t, "id", 5, 6) for i, t in rows], "doc_id long, text string, _id string, _at int, _TH int")
+    want = repeats_by_hand(rows)
+    got = line_dedup.dedup(df)
+    assert got.columns == [*df.columns, "n_lines", "removed"]
+    for r in got.collect():
+        assert (r.removed, r.text) == want[r.doc_id] and (r["_id"], r["_at"], r["_TH"]) == ("id", 5, 6)
+
+
+def test_line_dedup_without_a_local_disk(spark, monkeypatch):
+    """As on a file system whose files can't be mapped: blocks are read."""
+    from spanloom.llm import common
+
+    texts = [f"line {i % 7} " * 30 + "\n" + f"own {i} " * 30 for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = line_dedup.Removed(line_dedup.store(line_dedup.repeats(df)))
+    monkeypatch.setattr(common, "is_local", lambda _: False)
+    monkeypatch.setattr(common.StoredArray, "BLOCK", 5)
+    remote = line_dedup.Removed(line_dedup.store(line_dedup.repeats(df)))
+    ths = {r.doc_id: r.th for r in df.select("doc_id", F.xxhash64("text").alias("th")).collect()}
+    for i in range(40):
+        a, b = found.get(i, ths[i]), remote.get(i, ths[i])
+        assert (a is None) == (b is None) == (i < 7) and (a is None or a.tolist() == b.tolist() == [0])
+
+
+def test_stored_arrays_are_searched_alike(tmp_path, monkeypatch):
+    from spanloom.llm import common
+
+    values = np.sort(np.random.default_rng(2).integers(-50, 50, 333))
+    common.save_array(f"file://{tmp_path}", "part-0.npy", values)
+    monkeypatch.setattr(common, "is_local", lambda _: False)
+    monkeypatch.setattr(common.StoredArray, "BLOCK", 16)
+    (array,) = common.stored_arrays(f"file://{tmp_path}")
+    sought = np.arange(-60, 60)
+    for side in ("left", "right"):
+        assert (array.find(sought, side) == np.searchsorted(values, sought, side)).all()
+    assert (array.rows(3, 100) == values[3:100]).all() and (array.at(np.array([0, 332, 16])) == values[[0, 332, 16]]).all() and len(array) == 333
+
+
 # --- WARC --------------------------------------------------------------------------------------------------------------------------
 
 
