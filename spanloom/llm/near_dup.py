@@ -12,15 +12,18 @@ Candidates are confirmed on full sets, and links are closed to components:
 1. Documents of equal sets are one class, by the least id; a group of exact copies, however large, is one row from here on.
 2. Each member of a bucket (the documents of one key) is paired with the bucket's least and greatest id, two pre-aggregated values.
    No bucket is collected. Pairs within DISTANCE are confirmed; the links give components.
-3. What such stars can't show lies in buckets of three or more that still hold different components. They alone are compared
-   within, block by block (BLOCK x BLOCK signatures in one task, larger buckets as several tasks), and only pairs of different
-   components within DISTANCE go on to be confirmed. So no link that changes a component is lost, and a group of copies is never expanded into pairs.
+3. What such stars can't show lies in buckets of three or more that still hold different components. Of each such bucket all documents but those of its
+   largest component are compared with the whole bucket, block by block (BLOCK x BLOCK signatures at once; the blocks are spread over as many
+   tasks as their number asks for), and only pairs of different components within DISTANCE go on to be confirmed. So no link that changes a
+   component is lost, and a group of copies, however large, is never expanded into pairs nor compared within itself.
 
 Confirmation reads sets from a store in the shared folder: the sets of the candidates only, written by one pass over the documents,
-each found by its document's position in a sorted index that workers map into memory. So neither texts nor sets are shuffled.
+each found by its document's position in a sorted index. So neither texts nor sets are shuffled. The store's files are named by task attempt: a
+rerun task never replaces what another attempt's index rows point into.
 
 Nulls and texts without words have an empty set and link with nothing. A null id links with nothing. Rows of one id are one
-document, whose sets are those of all its rows. Empty tables give empty results. Extra columns are kept.
+document, whose sets are those of all its rows. Ties can't arise: of a group the least id is kept. Very long texts are shingled whole. Empty tables give empty
+results. Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,12 +39,14 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import sorted_ids
 from spanloom.llm.bpe import blocks
-from spanloom.llm.common import atomic_file, filesystem, load_array, materialise, save_array, shared_dir, tidy
+from spanloom.llm.common import atomic_file, filesystem, is_local, materialise, save_array, shared_dir, stored_arrays, tidy
 from spanloom.llm.components import components
 
 LENGTH, CHUNKS = 65, 13
 DISTANCE = 2 * CHUNKS - 1
 BLOCK = 1024
+#: Tasks at most in which the blocks of open buckets are compared.
+MAX_TASKS = 50_000
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, (LENGTH, 2), dtype=np.uint64) | np.uint64(1)
 
@@ -174,78 +179,81 @@ def _near(df: DataFrame, out: str) -> DataFrame:
 # --- the store of candidates' sets ----------------------------------------------------------------------------------------------
 
 
+INDEX = ("id", "part", "attempt", "offset", "n")
+
+
 def store_sets(df: DataFrame, chosen: str, words: int) -> str:
     """Writes the sets of the documents (id, text) whose ids are in the stored set chosen; returns the folder."""
     folder = shared_dir(df.sparkSession, "shingle-sets")
+    kind = ", ".join(f"{c} long" for c in INDEX)
 
     def run(batches):
         from pyspark import TaskContext
 
-        shingler, want, part = Shingler(words), sorted_ids.loaded(chosen), TaskContext.get().partitionId()
-        name, at, rows = f"part-{part:06d}.sets", 0, []
-        with atomic_file(folder, name) as stream:
+        shingler, want, task = Shingler(words), sorted_ids.loaded(chosen), TaskContext.get()
+        part, attempt, at, rows = task.partitionId(), task.taskAttemptId(), 0, []
+        with atomic_file(folder, _sets_file(part, attempt)) as stream:
             for batch in batches:
                 for block in blocks(batch, "text"):
                     ids = block.column(0)
                     hit = np.flatnonzero(want.has(np.asarray(ids.fill_null(0), np.int64)) & ~np.asarray(ids.is_null()))
                     for i in hit.tolist():
                         s = shingler(block.column(1)[i].as_py() or "")
-                        rows.append((ids[i].as_py(), part, at, len(s)))
+                        rows.append((ids[i].as_py(), part, attempt, at, len(s)))
                         stream.write(s.tobytes())
                         at += 8 * len(s)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["id", "part", "offset", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=list(INDEX))
 
-    index = materialise(df.mapInArrow(run, "id long, part long, offset long, n long"), "shingle-index")
+    index = materialise(df.mapInArrow(run, kind), "shingle-index")
 
     def indexed(batches):
         from pyspark import TaskContext
 
-        held = [np.stack([np.asarray(c) for c in b.columns], 1) for b in batches if b.num_rows]
+        held = [np.stack([np.asarray(c) for c in b.columns]) for b in batches if b.num_rows]
         if held:
-            save_array(folder, f"index-{TaskContext.get().partitionId():06d}.npy", np.concatenate(held))
+            for name, column in zip(INDEX, np.concatenate(held, 1)):
+                save_array(folder, f"index-{TaskContext.get().partitionId():06d}.{name}.npy", column)
         yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64())], names=["n"])
 
-    index.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(indexed, "n long").write.parquet(f"{folder}-indexed")
+    index.repartitionByRange("id").sortWithinPartitions(*INDEX).mapInArrow(indexed, "n long").write.parquet(f"{folder}-indexed")
     return folder
 
 
+def _sets_file(part: int, attempt: int) -> str:
+    return f"part-{part:06d}-{attempt}.sets"
+
+
 class Sets:
     """The stored sets by id. Index and sets are mapped into memory on a local file system, else read by byte ranges."""
 
     def __init__(self, folder: str):
-        from pyarrow import fs
-
         self.system, self.root = filesystem(folder)
-        self.local = isinstance(self.system, fs.LocalFileSystem)
-        found = sorted(f.path for f in self.system.get_file_info(fs.FileSelector(self.root)) if f.base_name.startswith("index-"))
-
-        self.index = [load_array(self.system, p) for p in found]
-        self.firsts = np.array([x[0, 0] for x in self.index], np.int64)
-        self.files: dict[int, object] = {}
+        self.local = is_local(self.system)
+        self.index = list(zip(*(stored_arrays(folder, f".{c}.npy", "index-") for c in INDEX)))
+        self.firsts = np.array([ids.rows(0, 1)[0] for ids, *_ in self.index], np.int64)
+        self.files: dict[str, object] = {}
 
     def _rows(self, doc: int):
         """Index rows of an id; one for each row of the documents that has it, perhaps over two neighbouring parts."""
         p = int(np.searchsorted(self.firsts, doc, "left"))
+        sought = np.array([doc], np.int64)
         for q in range(max(0, p - 1), len(self.index)):
             if self.firsts[q] > doc:
                 return
-            ids = self.index[q][:, 0]
-            yield from self.index[q][np.searchsorted(ids, doc, "left"):np.searchsorted(ids, doc, "right")]
-
-    def _read(self, part: int, offset: int, n: int) -> np.ndarray:
-        path = f"{self.root}/part-{part:06d}.sets"
-        if self.local:
-            if part not in self.files:
-                self.files[part] = np.memmap(path, np.uint64, "r")
-            return self.files[part][offset // 8:offset // 8 + n]
-        if part not in self.files:
-            self.files[part] = self.system.open_input_file(path)
-        return np.frombuffer(self.files[part].read_at(8 * n, offset), np.uint64)
+            ids, *rest = self.index[q]
+            i, j = (int(ids.find(sought, side)[0]) for side in ("left", "right"))
+            yield from zip(*(c.rows(i, j).tolist() for c in rest))
+
+    def _read(self, name: str, offset: int, n: int) -> np.ndarray:
+        path = f"{self.root}/{name}"
+        if name not in self.files:
+            self.files[name] = np.memmap(path, np.uint64, "r") if self.local else self.system.open_input_file(path)
+        return self.files[name][offset // 8:offset // 8 + n] if self.local else np.frombuffer(self.files[name].read_at(8 * n, offset), np.uint64)
 
     @functools.lru_cache(maxsize=16)  # noqa: B019
     def get(self, doc: int) -> list[np.ndarray]:
-        return [np.array(self._read(int(p), int(o), int(n))) for _, p, o, n in self._rows(doc) if n]
+        return [np.array(self._read(_sets_file(part, attempt), offset, n)) for part, attempt, offset, n in self._rows(doc) if n]
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -275,44 +283,50 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
 
 def _blocks_apart(rows: DataFrame) -> DataFrame:
-    """Near pairs of different components within buckets; rows: (key, id, component, sig, n: bucket size)."""
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")
-    # A bucket of one block is one task; a larger one is a task for each pair of blocks, and each row goes to those of its block.
-    each = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(mine, j).alias("a"), F.greatest(mine, j).alias("b")))
-    spread = rows.withColumn("_mine", mine).withColumn("at", F.explode(each)).select("key", F.col("at.a").alias("a"), F.col("at.b").alias("b"), (F.col("_mine") == F.col("at.a")).alias("left"), "id", "component", "sig")
+    """Near pairs of different components within buckets; rows: (key, id, component, sig)."""
+    rows = materialise(rows, "open-buckets")
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top"))
+    sizes = sizes.select("key", (F.ceil(F.col("n") / BLOCK)).cast("int").alias("across"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("down"), F.col("top.component").alias("largest"))
+    sizes = materialise(sizes, "open-bucket-sizes")
+    cells = sizes.agg(F.sum(F.col("across").cast("long") * F.col("down"))).first()[0] or 0
+    marked = rows.join(sizes, "key").withColumn("minor", F.col("component") != F.col("largest"))
+    place = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # What isn't of the largest component goes down, everything across: a cell is compared in one task.
+    right = marked.select("key", each("down").alias("a"), place(7, "across").alias("b"), F.lit(False).alias("left"), "id", "component", "sig")
+    left = marked.where("minor").select("key", place(11, "down").alias("a"), each("across").alias("b"), F.lit(True).alias("left"), "id", "component", "sig")
 
     def run(batches):
-        held, now = [], None
+        held = None
         for batch in batches:
-            data = [c.to_pylist() for c in batch.columns]
-            for row in zip(*data):
-                if row[:3] != now:
-                    yield from compared(held, now)
-                    held, now = [], row[:3]
-                held.append(row)
-        yield from compared(held, now)
-
-    def compared(held, now):
-        if len(held) < 2:
-            return
-        ids, comps = (np.array([r[k] for r in held], np.int64) for k in (4, 5))
-        sigs = np.frombuffer(b"".join(r[6] for r in held), np.uint16).reshape(-1, LENGTH)
-        left = np.array([r[3] for r in held])
-        us, vs = [], []
-        rows_ = np.arange(len(held)) if now[1] == now[2] else np.flatnonzero(left)
-        for i in rows_.tolist():
-            other = slice(i + 1, None) if now[1] == now[2] else np.flatnonzero(~left)
-            near = (comps[other] != comps[i]) & ((sigs[other] != sigs[i]).sum(1) <= DISTANCE)
-            if near.any():
-                v = ids[other][near]
-                us.append(np.full(len(v), ids[i]))
-                vs.append(v)
-        if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
+            if batch.num_rows:
+                now = [np.asarray(c) for c in batch.columns[:6]]
+                now.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint16).reshape(-1, LENGTH))
+                if held is not None:
+                    now = [np.concatenate(x) for x in zip(held, now)]
+                key, a, b = now[:3]
+                starts = np.flatnonzero((key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+                bounds = [0, *starts.tolist()]
+                for i, j in zip(bounds, bounds[1:]):
+                    yield from compared(*(x[i:j] for x in now[3:]))
+                held = [x[bounds[-1]:] for x in now]
+        if held is not None:
+            yield from compared(*held[3:])
+
+    def compared(left, ids, components, sigs):
+        down, across = np.flatnonzero(left), np.flatnonzero(~left)
+        pairs = []
+        for i in down.tolist():
+            near = across[(components[across] != components[i]) & ((sigs[across] != sigs[i]).sum(1) <= DISTANCE)]
+            if len(near):
+                pairs.append((np.full(len(near), ids[i]), ids[near]))
+        if pairs:
+            u, v = (np.concatenate(x) for x in zip(*pairs))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-    return spread.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u long, v long").distinct()
+    # A number of partitions that is asked for isn't coalesced: the cells' bytes are few, their work is not.
+    tasks = int(min(max(cells // 4, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MAX_TASKS))
+    return right.unionByName(left).repartition(tasks, "key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u long, v long").distinct()
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -334,9 +348,9 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     links = confirmed(_near(with_both, "u long, v long"), docs, words, percent)
     found = materialise(components(links), "star-components")
     # Buckets of three or more that the stars left in different components.
-    labelled = members.where("n > 2").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "n")
+    labelled = members.where("n > 2").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_ = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = _blocks_apart(labelled.join(open_, "key").join(sigs, "id").select("key", "id", "component", "sig", "n"))
+    rest = _blocks_apart(labelled.join(open_, "key").join(sigs, "id").select("key", "id", "component", "sig"))
     more = confirmed(rest, docs, words, percent)
     every = links.unionByName(more).unionByName(copies)
     final = components(every)
