@@ -4,15 +4,15 @@ The model is an interpolated character n-gram model (ORDER characters) for each
 n-grams of blocks of text, Spark sums the counts; the lower orders' continuation counts, the modified Kneser-Ney discounts and the
 interpolated probabilities are groupings and joins of those tables. The result is stored as sorted hash arrays: for each order
 two tables (n-gram hash to log2 probability, context hash to log2 back-off weight), range-partitioned by hash, each part a pair
-of .npy files in the shared folder. Workers map the files into memory (or read them, where the file system isn't local)
-and look hashes up by binary search; nothing is collected or broadcast, however large the model grows.
+of .npy files in the shared folder. Workers map the files into memory (or read blocks of them, where the file system isn't local)
+and look the hashes of a block of texts up by binary search; nothing is collected or broadcast, however large the model grows.
 
 A text's score is the mean bits per character. For each language the quartiles of the scores of documents that pass the
 base rules set a lower and an upper band, quartile -/+ SPREAD times the distance between the quartiles (FLOOR bits at
 least), so a band holds all but far outliers. A document is kept if it passes the base rules and its score lies within its language's band.
 
-Nulls: a null text has no words and fails; a null language is a language of its own. Equal texts of one language get equal scores. Empty
-tables give empty results. Extra columns are kept; columns that have the name of an output are replaced.
+Nulls: a null text has no words and fails; a null language is a language of its own. Equal texts of one language get equal scores, and bounds of a band
+belong to it. Very long texts are scored whole. Empty tables give empty results. judge() returns the key beside its outputs.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.bpe import blocks
-from spanloom.llm.common import filesystem, load_array, materialise, save_array, shared_dir, tidy
+from spanloom.llm.common import materialise, save_array, shared_dir, stored_arrays, tidy
 
 ORDER = 5
 PAD = "\x02"
@@ -144,9 +144,36 @@ def counts(df: DataFrame, lang: str, text: str) -> DataFrame:
 # --- the model -----------------------------------------------------------------------------------------------------------------------
 
 
-def key_of(lang: Column, gram: Column) -> Column:
-    """The hash by which the model's tables are sorted; hashed() is the same for the workers."""
-    return F.xxhash64(F.concat(F.coalesce(lang, F.lit("")), F.lit("\x01"), gram))
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def hashed(lang: str | None, grams: np.ndarray) -> np.ndarray:
+    """The hashes by which the model's tables are sorted, of rows of code points (uint32). All rows are worked off together."""
+    import xxhash
+
+    h = np.full(len(grams), xxhash.xxh64_intdigest(b"" if lang is None else b"\x01" + lang.encode("utf-8", "surrogatepass"), grams.shape[1]), np.uint64)
+    for k in range(grams.shape[1]):
+        h = (h ^ (grams[:, k].astype(np.uint64) + np.uint64(1))) * _A
+        h ^= h >> np.uint64(32)
+    h *= _B
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def _keyed(df: DataFrame, name: str, length: int) -> DataFrame:
+    """(name, h, v) of a table (lang, gram, v) whose n-grams have so many characters."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            langs = batch.column(0).dictionary_encode(null_encoding="encode")
+            grams = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(batch.num_rows, length)
+            which, h = np.asarray(langs.indices), np.empty(batch.num_rows, np.int64)
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                h[which == i] = hashed(lang, grams[which == i])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows), pa.array(h), batch.column(2)], names=["name", "h", "v"])
+
+    return df.mapInArrow(run, "name string, h long, v float")
 
 
 def _discounts(table: DataFrame) -> DataFrame:
@@ -194,9 +221,9 @@ def store(tables, folder: str) -> None:
     """Writes the model as sorted hash arrays: <name>/part-N.keys.npy and .values.npy, ascending over the parts."""
     every = None
     for k, (probabilities, backs) in enumerate(tables):
-        for name, df, gram, value in ((f"p{k}", probabilities, "g", "lp"), (f"b{k}", backs, "ctx", "lb")):
+        for name, df, gram, value, length in ((f"p{k}", probabilities, "g", "lp", k), (f"b{k}", backs, "ctx", "lb", k - 1)):
             if df is not None:
-                rows = df.select(F.lit(name).alias("name"), key_of(F.col("lang"), F.col(gram)).alias("h"), F.col(value).cast("float").alias("v"))
+                rows = _keyed(df.select("lang", gram, F.col(value).cast("float").alias("v")), name, length)
                 every = rows if every is None else every.unionByName(rows)
 
     def run(batches):
@@ -216,36 +243,24 @@ def store(tables, folder: str) -> None:
 
 
 class HashArray:
-    """A stored table: sorted parts, mapped into memory where the file system is local."""
+    """A stored table: sorted parts."""
 
     def __init__(self, folder: str, name: str):
-        from pyarrow import fs
-
-        system, root = filesystem(f"{folder}/{name}")
-        found = sorted(f.path for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(".keys.npy"))
-        self.parts = [(load_array(system, p), load_array(system, p.replace(".keys.npy", ".values.npy"))) for p in found]
-        self.firsts = np.array([k[0] for k, _ in self.parts], np.int64)
+        self.parts = list(zip(*(stored_arrays(f"{folder}/{name}", f".{x}.npy") for x in ("keys", "values"))))
+        self.firsts = np.array([k.rows(0, 1)[0] for k, _ in self.parts], np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
-        """The values of the keys, NaN where a key is missing."""
-        out = np.full(len(keys), np.nan)
-        part = np.searchsorted(self.firsts, keys, "right") - 1
-        for p in np.unique(part[part >= 0]):
-            at = np.flatnonzero(part == p)
-            have, values = self.parts[p]
-            i = np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)
-            out[at] = np.where(have[i] == keys[at], values[i], np.nan)
+        """The values of the keys, NaN where a key is missing. They are looked up in ascending order, which keeps to few pages at a time."""
+        out, order = np.full(len(keys), np.nan), np.argsort(keys)
+        keys = keys[order]
+        bounds = np.searchsorted(keys, self.firsts)
+        for (have, values), i, j in zip(self.parts, bounds, [*bounds[1:], len(keys)]):
+            if i < j:
+                at = np.minimum(have.find(keys[i:j]), len(have) - 1)
+                out[order[i:j]] = np.where(have.at(at) == keys[i:j], values.at(at), np.nan)
         return out
 
 
-def hashed(lang: str | None, grams) -> np.ndarray:
-    """key_of() in Python: xxHash64 with Spark's seed."""
-    import xxhash
-
-    prefix = (lang or "").encode() + b"\x01"
-    return np.array([xxhash.xxh64_intdigest(prefix + g, 42) for g in grams], np.uint64).view(np.int64)
-
-
 class Model:
     def __init__(self, folder: str):
         self.p = [HashArray(folder, f"p{k}") for k in range(ORDER + 1)]
@@ -258,25 +273,18 @@ class Model:
         for k in range(ORDER, 0, -1):
             if not len(open_):
                 break
-            own = _utf8(grams[open_, ORDER - k:])
-            got = self.p[k].get(hashed(lang, own))
+            got = self.p[k].get(hashed(lang, grams[open_, ORDER - k:]))
             hit = ~np.isnan(got)
             total[open_[hit]] += got[hit]
             open_ = open_[~hit]
             if len(open_):
-                back = self.b[k].get(hashed(lang, _utf8(grams[open_, ORDER - k:-1])))
+                back = self.b[k].get(hashed(lang, grams[open_, ORDER - k:-1]))
                 total[open_] += np.nan_to_num(back, nan=0.0)
         if len(open_):
-            total[open_] += np.nan_to_num(self.p[0].get(hashed(lang, [b""])), nan=-20.0)[0]
+            total[open_] += np.nan_to_num(self.p[0].get(hashed(lang, np.empty((1, 0), np.uint32))), nan=-20.0)[0]
         return -total
 
 
-def _utf8(grams: np.ndarray) -> list[bytes]:
-    k = grams.shape[1]
-    whole = np.ascontiguousarray(grams).tobytes().decode("utf-32-le", "surrogatepass")
-    return [whole[i:i + k].encode("utf-8", "surrogatepass") for i in range(0, len(whole), k)] if k else [b""] * len(grams)
-
-
 @functools.lru_cache(maxsize=2)
 def loaded(folder: str) -> Model:
     return Model(folder)
