@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import shared_dir, table
 from spanloom.llm.mixing import ORACLE as mixing_sql
+from spanloom.llm.warc import ORACLE as warc_sql
 
 
 def vocabulary(name: str) -> str:
@@ -89,7 +90,7 @@ def op8_token_records(spark: SparkSession, sf_dir: str, path: str | None = None)
     from pyspark.sql import Window
 
     before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("offset")) - F.col("n_tokens")
-    return got.withColumn("within", before).join(F.broadcast(token_records.starts(index)), "part").select(
+    return got.withColumn("within", before).join(token_records.starts(index), "part").select(
         "doc_id", (F.col("before") + F.col("within")).cast("long").alias("start"), "n_tokens", "ids_crc32"
     )
 
@@ -142,4 +143,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing_sql,
+    "op5_warc": warc_sql,
 }

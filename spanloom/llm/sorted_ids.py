@@ -69,3 +69,42 @@ def rows_with(df: DataFrame, column: str, folder: str, wanted: bool = True) -> D
                 yield batch.filter(pa.array(mask))
 
     return df.mapInArrow(run, df.schema)
+
+
+def store_pairs(pairs: DataFrame) -> str:
+    """Writes the distinct pairs (a, b) of longs, in order; returns the folder."""
+    folder = shared_dir(pairs.sparkSession, "id-pairs")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        held = [np.stack([np.asarray(c) for c in b.columns]) for b in batches if b.num_rows]
+        if held:
+            for name, column in zip("ab", np.concatenate(held, 1)):
+                save_array(folder, f"part-{TaskContext.get().partitionId():06d}.{name}.npy", column)
+        yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64())], names=["n"])
+
+    pairs.select("a", "b").distinct().repartitionByRange("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "n long").write.parquet(f"{folder}-written")
+    return folder
+
+
+class SortedPairs:
+    def __init__(self, folder: str):
+        self.parts = list(zip(*(stored_arrays(folder, f".{x}.npy") for x in "ab")))
+        self.ends = np.array([[a.rows(0, 1)[0], a.rows(len(a) - 1, len(a))[0]] for a, _ in self.parts], np.int64).reshape(-1, 2)
+
+    def has(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        for (have, others), (first, last) in zip(self.parts, self.ends):
+            rows = np.flatnonzero((first <= a) & (a <= last))
+            for row, i, j in zip(rows.tolist(), have.find(a[rows], "left").tolist(), have.find(a[rows], "right").tolist()):
+                if i < j:
+                    mine = others.rows(i, j)
+                    k = int(np.searchsorted(mine, b[row]))
+                    out[row] |= k < j - i and mine[k] == b[row]
+        return out
+
+
+@functools.lru_cache(maxsize=4)
+def loaded_pairs(folder: str) -> SortedPairs:
+    return SortedPairs(folder)

@@ -382,6 +382,39 @@ def test_warc_copies_and_ranges(spark, tmp_path):
     assert warc.parse(member)["payload"] == b"abc"
 
 
+def test_warc_of_many_copies(spark, tmp_path):
+    """A third of the pages share one payload and others come twice; the query against its SQL, and what a reader of revisits needs."""
+    rows = [(i, f"http://x/{i}", "hot page" if i % 3 == 0 else f"twice {i // 4}" if i % 3 == 1 else None if i % 30 == 2 else f"own {i} é") for i in range(600)]
+    spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, sha1 string").repartition(5).write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op5_warc(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    q = con.sql(queries.ORACLE_SQL["op5_warc"])
+    at = [q.columns.index(c) for c in got.columns]
+    told = sorted((tuple(r) for r in got.collect()), key=repr)
+    assert told == sorted((tuple(r[i] for i in at) for r in q.fetchall()), key=repr) and sum(r[3] == "revisit" for r in told) > 200
+    folder = f"file://{tmp_path}/w"
+    index = {r.page_id: r for r in warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder).collect()}
+    fields = {}
+    for i in (0, 597):
+        with open(f"{tmp_path}/w/warc/{index[i].file}", "rb") as f:
+            assert b"warcinfo" in __import__("gzip").GzipFile(fileobj=f).read(200)
+            f.seek(index[i].offset)
+            fields[i] = warc.parse(f.read(index[i].length))
+    assert fields[0]["WARC-Refers-To"] == fields[597]["WARC-Record-ID"] and fields[0]["WARC-Refers-To-Target-URI"] == "http://x/597" and fields[0]["WARC-Refers-To-Date"] == fields[597]["WARC-Date"]
+    none = [(None, f"u{i}", ["same", "other", "same"][i % 3]) for i in range(6)] + [(5, "v", "same")]
+    kinds = collections.Counter((r.page_id, r.record_type) for r in warc.write(spark.createDataFrame(none, "page_id long, url string, html string"), f"{folder}2").collect())
+    assert kinds == {(None, "revisit"): 4, (None, "response"): 2, (5, "response"): 1}
+
+
+def test_mixing_keeps_any_column(spark):
+    names = ["_h", "_s", "_P", "_base", "_threshold", "_copy", "h"]
+    df = spark.createDataFrame([(i, "w " * (i % 9), "ab"[i % 2], *range(7)) for i in range(50)], ["doc_id", "text", "source", *names])
+    mixed = mixing.mix(df)
+    assert set(names) <= set(mixed.columns) and {tuple(r[n] for n in names) for r in mixed.collect()} == {tuple(range(7))}
+    assert mixing.repeated(mixed).columns == df.columns
+
+
 # --- quality -----------------------------------------------------------------------------------------------------------------------
 
 

@@ -25,6 +25,11 @@ from spanloom.llm import pii, secrets  # noqa: E402
         ("host 192 dot 168 dot 1 dot 1", ["192 dot 168 dot 1 dot 1"]),
         ("look at this point we agree, at v dot 2", []),
         ("chapter 2 one, two 3", []),
+        ("call plus one double five five one two three four five six seven now", ["plus one double five five one two three four five six seven"]),
+        ("call +1 914 triple five 0199 now", ["+1 914 triple five 0199"]),
+        ("\U0001d423ane@example.com", ["\U0001d423ane@example.com"]),
+        ("to \u24d9ane@ex\u24d0mple.com", ["\u24d9ane@ex\u24d0mple.com"]),
+        ("jane at example dot xyz", ["jane at example dot xyz"]),
     ],
 )
 def test_spelled_addresses_and_numbers(text, found):
@@ -45,3 +50,15 @@ def test_hex_secrets_behind_separators(spark):
     for i, x in enumerate(texts[:8]):
         assert any(a <= x.index(value[:20]) and x.index(value[:20]) + 20 <= b for a, b in got[i]), (x, got[i])
     assert [got[i] for i in (8, 9, 10)] == [[], [], []]
+
+
+def test_tracing_is_small():
+    """A text of two million characters with one typographic quote."""
+    import tracemalloc
+
+    text = "some words \u2019 " + "plain words go on " * 120_000 + "jo\u24d9@example.com"
+    tracemalloc.start()
+    (span,) = pii.added_spans(text, pii.base_spans(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text[span[0]:span[2]] == "jo\u24d9@example.com" and peak < 40 * len(text)
