@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import WORD, materialise, without
+from spanloom.llm.common import WORD, fresh, materialise, without
 
 LEVELS, BITS = 3, 12
 BROADCAST_SOURCES = 100_000
@@ -104,31 +104,35 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     """df with size, source_size, target (words of the source's share) and copies (how often the mix takes the row, 0 to max_repeat)."""
     df = without(df, *[c for c in OUTPUTS if c not in (key, text, source)])
     plan = thresholds(_narrow(df, key, text, source), weights, max_repeat)
-    return _copies(df.withColumns({"size": size_of(text), "_h": hash_of(key, text), "_s": F.col(source)}), plan)
+    h, s = fresh(df, "_h", "_s")
+    return _copies(df.withColumns({"size": size_of(text), h: hash_of(key, text), s: F.col(source)}), plan, h, s)
 
 
 def _narrow(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     return materialise(df.select(F.col(source).alias("source"), size_of(text).alias("size"), hash_of(key, text).alias("h")), "mix-sizes")
 
 
-def _copies(df: DataFrame, plan: DataFrame) -> DataFrame:
-    right = plan.select(F.col("source").alias("_p"), "source_size", "target", F.col("base").alias("_base"), F.col("threshold").alias("_threshold"))
+def _copies(df: DataFrame, plan: DataFrame, h: str, s: str) -> DataFrame:
+    """df with source_size, target and copies, without its columns h (hash) and s (source)."""
+    p, base, threshold = fresh(df, "_p", "_base", "_threshold")
+    right = plan.select(F.col("source").alias(p), "source_size", "target", F.col("base").alias(base), F.col("threshold").alias(threshold))
     if right.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         right = F.broadcast(right)
-    joined = df.join(right, F.col("_s").eqNullSafe(F.col("_p")))
-    return joined.withColumn("copies", F.col("_base") + F.when(F.col("_h") < F.col("_threshold"), 1).otherwise(0)).drop("_s", "_p", "_h", "_base", "_threshold")
+    joined = df.join(right, F.col(s).eqNullSafe(F.col(p)))
+    return joined.withColumn("copies", F.col(base) + F.when(F.col(h) < F.col(threshold), 1).otherwise(0)).drop(s, p, h, base, threshold)
 
 
 def mix_keys(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
     """As mix(), but only the key and the outputs; the texts are read once."""
     rows = materialise(df.select(F.col(key), F.col(source).alias("source"), size_of(text).alias("size"), hash_of(key, text).alias("h")), "mix-sizes")
     plan = thresholds(rows, weights, max_repeat)
-    return _copies(rows.withColumns({"_h": F.col("h"), "_s": F.col("source")}), plan).drop("h")
+    return _copies(rows.withColumn("_s", F.col("source")), plan, "h", "_s")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """Each row as often as its copies say, without the outputs of mix()."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy", *OUTPUTS)
+    (copy,) = fresh(mixed, "_copy")
+    return mixed.where("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop(copy, *OUTPUTS)
 
 
 ORACLE = r"""
