@@ -1,14 +1,14 @@
 """Personal data: e-mail addresses, IP addresses, card and phone numbers, also in disguise.
 
 The base spans are those of fixed patterns on the text as it is. Then, where a text holds a sign of disguise, transducers
-rewrite it: look-alike characters and foreign digits become ASCII (one for one), invisible characters go, spelled-out digits become
-digits (four in a row, or any beside figures), and bracketed or spelled "at" and "dot" become @ and full stops. About a spelled "at" both
+rewrite it: look-alike characters, foreign digits and characters that NFKC makes ASCII become that (one for one), invisible characters go, spelled-out digits become
+digits (four in a row, "double five" being two, or any beside figures), and bracketed or spelled "at" and "dot" become @ and full stops. About a spelled "at" both
 parts may hold spelled and literal dots, and any word of letters may be the top label (only a well-known one after "point"). Each rewriting carries the source
 offsets of every character, so what is then detected maps back to source characters exactly. A span found this way is added if
 it holds a rewritten character and no base span of its kind already covers it; base spans always stay.
 
-Null texts have no spans. Positions are in code points, ends exclusive. Every pattern runs in time linear in the text. Extra columns
-are kept; a column that has the name of the output is replaced.
+Null and empty texts have no spans, equal texts equal ones. Positions are in code points, ends exclusive; spans that begin at one place come in the order of
+KINDS. Very long texts are searched whole: every pattern runs in time linear in the text. Empty tables give empty results. Extra columns are kept; a column that has the name of the output is replaced.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import functools
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,14 +91,16 @@ _DIGIT_WORDS = {
     "zéro": 0, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
-_WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
+_ONE_WORD = _WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
 _DOT = r"(?:dot|punkt|point|punto)"
 _AT = r"(?:at|arroba)"
 _SEP = r"[\x20,-]{1,2}"
+_TIMES = {"double": 2, "triple": 3}
+_WORD = rf"(?:(?:(?:double|triple)\x20)?{_WORD})"
 _FIGURES = r"[0-9]++(?:\.[0-9]++)*+"
 #: Digit words and figures in a row, with dots between them, and a plus before: one number, if _spelled() finds enough in it.
 _SPELLED = re.compile(rf"(?:(?<!\w)(?:plus{_SEP})?{_WORD}|(?<!\w)plus{_SEP}{_FIGURES}|(?<![\w.]){_FIGURES})(?!\w)(?:{_SEP}(?:{_DOT}{_SEP})?(?:{_WORD}|{_FIGURES})(?!\w))++", re.I)
-_SPELLED_PART = re.compile(rf"(?P<w>{_WORD})|(?P<figures>{_FIGURES})|(?P<dot>{_DOT})|(?P<plus>plus)|[\x20,-]+", re.I)
+_SPELLED_PART = re.compile(rf"(?:(?P<times>double|triple)\x20)?(?P<w>{_ONE_WORD})|(?P<figures>{_FIGURES})|(?P<dot>{_DOT})|(?P<plus>plus)|[\x20,-]+", re.I)
 _BRACKETED = re.compile(rf"\x20?[\[({{<]\x20?(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\x20?[\])}}>]\x20?", re.I)
 _TOP = "(?:com|org|net|edu|gov|info|biz|dev|app|int|mil|eu|io|ai|co|uk|us|de|fr|es|at|ch|nl|be|it|pl|pt|se|no|dk|fi|ca|au|nz|jp|cn|in|br|ru)"
 #: An at, spelled or not, and the labels after it; labels end before the last dot that is none of theirs.
@@ -116,19 +119,23 @@ def _table() -> dict[int, int]:
     for c in range(0x250, 0x20000):
         if (d := unicodedata.decimal(chr(c), None)) is not None:
             found.setdefault(c, 0x30 + d)
+        elif len(plain := unicodedata.normalize("NFKC", chr(c))) == 1 and plain.isascii():  # mathematical, circled, superscript, full-width ...
+            found.setdefault(c, ord(plain))
     return {k: v for k, v in found.items() if k > 0x7F}
 
 
 class Traced:
-    """A text with the source span of each character and whether it was rewritten."""
+    """A text with the source span of each character and whether it was rewritten (nine bytes a character)."""
 
     def __init__(self, text: str):
         self.text, n = text, len(text)
-        self.start, self.end, self.new = list(range(n)), list(range(1, n + 1)), [False] * n
+        self.start, self.end, self.new = np.arange(n, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32), np.zeros(n, bool)
 
     def translated(self) -> None:
+        """Characters become the ASCII ones that they look like or stand for."""
+        points = lambda x: np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
         text = self.text.translate(_table())
-        self.new = [x or a != b for x, a, b in zip(self.new, self.text, text)]
+        self.new |= points(text) != points(self.text)
         self.text = text
 
     def rewritten(self, pattern: re.Pattern, pieces) -> None:
@@ -137,24 +144,25 @@ class Traced:
         for m in pattern.finditer(self.text):
             for i, j, s in pieces(m):
                 out += [self.text[at:i], s]
-                start += self.start[at:i] + [self.start[i]] * len(s)
-                end += self.end[at:i] + [self.end[j - 1]] * len(s)
-                new += self.new[at:i] + [True] * len(s)
+                start += [self.start[at:i], np.full(len(s), self.start[i], np.int32)]
+                end += [self.end[at:i], np.full(len(s), self.end[j - 1], np.int32)]
+                new += [self.new[at:i], np.ones(len(s), bool)]
                 at = j
         if at:
             self.text = "".join(out) + self.text[at:]
-            self.start, self.end, self.new = start + self.start[at:], end + self.end[at:], new + self.new[at:]
+            self.start, self.end, self.new = (np.concatenate([*x, rest[at:]]) for x, rest in ((start, self.start), (end, self.end), (new, self.new)))
 
 
 def _spelled(m):
     """Four digit words or more, or any digit word or dot among figures. Separators go, but for those between figures."""
     parts = list(_SPELLED_PART.finditer(m.string, m.start(), m.end()))
-    words, figures = sum(p["w"] is not None for p in parts), any(p["figures"] for p in parts)
+    times = lambda p: _TIMES[p["times"].lower()] if p["times"] else 1
+    words, figures = sum(times(p) for p in parts if p["w"]), any(p["figures"] for p in parts)
     if words < 4 and not (figures and any(p["w"] or p["dot"] or p["plus"] for p in parts)):
         return
     for k, p in enumerate(parts):
         if p["w"] or p["dot"] or p["plus"]:
-            yield p.start(), p.end(), str(_DIGIT_WORDS[p["w"].lower()]) if p["w"] else "." if p["dot"] else "+"
+            yield p.start(), p.end(), str(_DIGIT_WORDS[p["w"].lower()]) * times(p) if p["w"] else "." if p["dot"] else "+"
         elif not p["figures"] and not (parts[k - 1]["figures"] and parts[k + 1]["figures"]):
             yield p.start(), p.end(), ""
 
@@ -230,7 +238,7 @@ def normalised(text: str) -> Traced | None:
     t.rewritten(_SPELLED, _spelled)
     t.rewritten(_BRACKETED, _marks)
     t.rewritten(_PLAIN, _plain())
-    return t if len(t.text) != len(text) or any(t.new) else None
+    return t if len(t.text) != len(text) or t.new.any() else None
 
 
 # Signs of disguise, looked for in lower-cased texts of settled characters; each starts at a rare character or after a space.
@@ -260,8 +268,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         return []
     out = []
     for i, rank, j in base_spans(t.text):
-        changed = any(t.new[i:j]) or any(t.start[k + 1] != t.end[k] for k in range(i, j - 1))
-        a, b = t.start[i], t.end[j - 1]
+        changed = t.new[i:j].any() or (t.start[i + 1:j] != t.end[i:j - 1]).any()
+        a, b = int(t.start[i]), int(t.end[j - 1])
         if changed and not any(r == rank and x <= a and b <= y for x, r, y in base):
             out.append((a, rank, b))
     return out

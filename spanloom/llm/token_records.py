@@ -14,6 +14,9 @@ which a reader gets records in any order without scanning; see read().
 Documents are written in ascending order of their ids (nulls first, ties by a hash of the text): range
 partitions in order, each sorted and written by one task into a file named by its number. A file appears only when
 it is whole, so a rerun task replaces it.
+
+Null texts are empty: their record holds the end id alone. Rows that are equal give equal records, one each. Very long texts are encoded whole, in
+chunks. An empty table gives an empty index. Only the key and the text of the input are used, whatever its other columns are called.
 """
 
 from __future__ import annotations
