@@ -38,6 +38,10 @@ class Engine:
             return None
         return [v for k in range(self.groups) for v in ((None, None) if m.start(k) < 0 else m.span(k))]
 
+    def exact(self, text: str, start: int, end: int) -> Slots | None:
+        """Slots of the first way by priority to match just text[start:end]; assertions see the whole text."""
+        return machine(self.plan).search(text, start, end, whole=True)
+
     def window(self, text: str, start: int, end: int) -> Slots | None:
         """As at(), for a match within text[start:end]."""
         return self.at(text, start) if end >= len(text) else self.scanner.search(text, start, end)

@@ -122,7 +122,7 @@ class Regex:
                 else:
                     text = row[0].decode("latin-1") if raw else row[0]
                     try:
-                        out.append(function(engine, text, Bytes(text) if raw else Offsets(text), *row[1:]))
+                        out.append(function(engine, text, Bytes(text) if raw else Offsets(text) if isinstance(text, str) else None, *row[1:]))
                     except OffsetError:
                         out.append(None)
             return pa.array(out, kind)
@@ -139,6 +139,11 @@ class Regex:
             if p.anchored_start and p.anchored_end:
                 return t == whole
             return t.startswith(whole) if p.anchored_start else t.endswith(whole) if p.anchored_end else t.contains(whole)
+        if p.texts and not self._bytes:
+            found = t.contains(F.lit(p.texts[0]))
+            for x in p.texts[1:]:
+                found = found | t.contains(F.lit(x))
+            return found
         if p.unsafe:
             slow = lambda x: self._arrow("boolean", pa.bool_(), lambda e, s, _: e.at(s, 0) is not None, x)
             if not p.required:
@@ -159,8 +164,27 @@ class Regex:
         """Whether there is a match within two byte offsets; assertions see the whole text."""
         return self._arrow("boolean", pa.bool_(), lambda e, s, o, i, j: e.window(s, o.chars(i), o.chars(j)) is not None, column(c), _whole(start), _whole(end))
 
+    def _around(self, t: Column) -> Column:
+        """The text before the first match and that after it, as an array; one entry if there is no match."""
+        return F.split(t, self.plan.java, 2)
+
+    def _size(self, t: Column, chars: bool = False) -> Column:
+        return (F.length(t) if chars or self._bytes else F.octet_length(t)).cast("bigint")
+
+    def _first(self, t: Column, function: Callable[[Column, Column], Column]) -> Column:
+        """function(text before, text of the first match), by Spark's own functions; null without a match."""
+        found = F.get(F.transform(F.array(F.struct(self._around(t).alias("a"), F.regexp_extract(t, self.plan.java, 0).alias("m"))), lambda x: F.when(F.size(x["a"]) > 1, function(x["a"][0], x["m"]))), F.lit(0))
+        return F.when(self.is_match_text(t), found)
+
+    def is_match_text(self, t: Column) -> Column:
+        """What is_match() tests for, over a column of characters."""
+        p = self.plan
+        return t.contains(F.lit(p.required)) & t.rlike(p.java) if p.required else t.rlike(p.java)
+
     def find(self, c: Column | str, chars: bool = False) -> Column:
         """The first match's span, null if there is none."""
+        if self.plan.builtin:
+            return self._first(self._text(c), lambda before, m: F.struct(self._size(before, chars).alias("start"), (self._size(before, chars) + self._size(m, chars)).alias("end")))
         return self._arrow(SPAN, _PA_SPAN, lambda e, s, o: _span(e.at(s, 0), o, chars), column(c))
 
     def find_at(self, c: Column | str, start: Column | int, chars: bool = False) -> Column:
@@ -171,6 +195,8 @@ class Regex:
 
     def find_text(self, c: Column | str) -> Column:
         """The first match's span and text."""
+        if self.plan.builtin and not self._bytes:
+            return self._first(column(c), lambda before, m: F.struct(self._size(before).alias("start"), (self._size(before) + self._size(m)).alias("end"), m.alias("text")))
         kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.binary() if self._bytes else pa.string())])
         return self._arrow(MATCH.replace("string", "binary") if self._bytes else MATCH, kind, self._with_text, column(c))
 
@@ -179,6 +205,32 @@ class Regex:
         raw = self._bytes
         return lambda e, s, o: None if (m := e.at(s, 0)) is None else _span(m, o, False) | {"text": s[m[0]:m[1]].encode("latin-1") if raw else s[m[0]:m[1]]}
 
+    def find_text_at(self, c: Column | str, start: Column | int) -> Column:
+        """The span and the text of the first match from a byte offset on."""
+        raw = self._bytes
+        kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.binary() if raw else pa.string())])
+        told = lambda e, s, o, i: None if (m := e.at(s, o.chars(i))) is None else _span(m, o, False) | {"text": s[m[0]:m[1]].encode("latin-1") if raw else s[m[0]:m[1]]}
+        return self._arrow(MATCH.replace("string", "binary") if raw else MATCH, kind, told, column(c), _whole(start))
+
+    def find_texts(self, c: Column | str, chars: bool = False) -> Column:
+        """array<struct<start, end, text>> of all matches."""
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
+        return self._arrow(f"array<{MATCH}>", kind, lambda e, s, o: [_span(m, o, chars) | {"text": s[m[0]:m[1]]} for m in e.spans(s)], column(c))
+
+    def find_capped(self, c: Column | str, cap: int) -> Column:
+        """struct<spans, total>: the first spans, cap of them at most, and how many there are."""
+        kind = pa.struct([("spans", pa.list_(_PA_SPAN)), ("total", pa.int64())])
+
+        def run(e, s, o):
+            spans, total = [], 0
+            for m in e.spans(s):
+                if total < cap:
+                    spans.append(_span(m, o, False))
+                total += 1
+            return {"spans": spans, "total": total}
+
+        return self._arrow(f"struct<spans:array<{SPAN}>,total:bigint>", kind, run, column(c))
+
     def find_iter(self, c: Column | str, chars: bool = False, start: Column | int = 0, limit: int | None = None) -> Column:
         """All spans, leftmost first. A limit refuses texts with more matches (the query fails) instead of cutting the answer."""
         spans = self._arrow(f"array<{SPAN}>", pa.list_(_PA_SPAN), lambda e, s, o, i: [_span(m, o, chars) for m in (e.each(s, o.inside(i) if chars else o.chars(i)) if i else e.spans(s))], column(c), _whole(start))
@@ -220,17 +272,19 @@ class Regex:
         p, t = self.plan, self._text(c)
         if p.literal:
             return self.count(c) * len(p.literal if self._bytes else p.literal.encode())
+        if p.builtin:  # what goes if all matches go
+            return (self._size(t) - self._size(F.regexp_replace(t, F.lit(p.java), F.lit("")))).cast("bigint")
+        if p.covers and not self._bytes:
+            return F.octet_length(t).cast("bigint")
         if not p.unsafe:  # empty matches add nothing, so it doesn't matter which of them Spark counts
             return F.aggregate(F.regexp_extract_all(t, F.lit(p.java), F.lit(0)), F.lit(0).cast("bigint"), lambda a, m: a + (F.length(m) if self._bytes else F.octet_length(m)))
         return self._arrow("bigint", pa.int64(), lambda e, s, o: sum(-o.bytes(a) + o.bytes(b) for a, b in e.spans(s)), column(c))
 
     def match_stats(self, c: Column | str) -> Column:
-        """struct<count, span_sum> in one pass."""
+        """struct<count, span_sum>."""
         p, t = self.plan, self._text(c)
         if p.builtin:
-            start = F.struct(F.lit(0).cast("bigint").alias("count"), F.lit(0).cast("bigint").alias("span_sum"))
-            each = F.regexp_extract_all(t, F.lit(p.java), F.lit(0))
-            return F.aggregate(each, start, lambda a, m: F.struct((a["count"] + 1).alias("count"), (a["span_sum"] + (F.length(m) if self._bytes else F.octet_length(m))).alias("span_sum")))
+            return F.when(t.isNotNull(), F.struct(self.count(c).alias("count"), self.span_sum(c).alias("span_sum")))
 
         def stats(e, s, o):
             each = [(o.bytes(a), o.bytes(b)) for a, b in e.spans(s)]
@@ -254,10 +308,25 @@ class Regex:
     def captures_window(self, c: Column | str, start: Column | int, end: Column | int) -> Column:
         return self._arrow(f"array<{SPAN}>", pa.list_(_PA_SPAN), lambda e, s, o, i, j: _groups(e.window(s, o.chars(i), o.chars(j)), o), column(c), _whole(start), _whole(end))
 
+    def captures_exact_window(self, c: Column | str, start: Column | int, end: Column | int) -> Column:
+        """The groups of the match whose span (byte offsets) is known, such as one that find() gave: of the ways to match just that
+        stretch, the first by priority. Null where the pattern doesn't match it."""
+
+        def run(e, s, o, i, j):
+            a, b = o.chars(i), o.chars(j)
+            return _groups(e.exact(s, a, b), o) if a <= b else None
+
+        return self._arrow(f"array<{SPAN}>", pa.list_(_PA_SPAN), run, column(c), _whole(start), _whole(end))
+
     def captures_iter(self, c: Column | str) -> Column:
         """The groups of all matches."""
         return self._arrow(f"array<array<{SPAN}>>", pa.list_(pa.list_(_PA_SPAN)), lambda e, s, o: [_groups(m, o) for m in e.each(s)], column(c))
 
+    def captures_texts(self, c: Column | str) -> Column:
+        """The texts of the groups of all matches, the whole match first; null where a group takes no part."""
+        texts = lambda e, s, _: [[None if a is None else s[a:b] for a, b in zip(m[::2], m[1::2])] for m in e.each(s)]
+        return self._arrow("array<array<string>>", pa.list_(pa.list_(pa.string())), texts, column(c))
+
     def captures_iter_window(self, c: Column | str, start: Column | int, end: Column | int) -> Column:
         return self._arrow(f"array<array<{SPAN}>>", pa.list_(pa.list_(_PA_SPAN)), lambda e, s, o, i, j: [_groups(m, o) for m in e.each(s, o.chars(i), o.chars(j))], column(c), _whole(start), _whole(end))
 
@@ -287,6 +356,9 @@ class Regex:
             return self._back(F.replace(t, F.lit(p.literal), F.lit(new)))
         if limit == 0 and p.builtin:
             return self._back(F.regexp_replace(t, F.lit(p.java), F.lit(quoted(new))))
+        if limit == 1 and p.builtin:
+            around = F.get(F.transform(F.array(self._around(t)), lambda a: F.when(F.size(a) > 1, F.concat(a[0], F.lit(new), a[1])).otherwise(t)), F.lit(0))
+            return self._back(F.when(self.is_match_text(t), around).otherwise(t))
         return self._rewritten(c, limit, lambda s, m: new)
 
     def replace(self, c: Column | str, replacement: str) -> Column:
@@ -390,6 +462,17 @@ class Regex:
             return F.when(column(c).contains(F.lit(p.required)), found).when(column(c).isNotNull(), F.lit(0).cast("bigint"))
         return found
 
+    def grep_captures_count(self, c: Column | str, mode: str = "lf") -> Column:
+        """Groups that take part, the whole match included, summed over all matches of each line."""
+        n = self.static_captures_len()
+        if n is not None and self.plan.builtin and not self._bytes:
+            each = F.transform(lines(c, mode), lambda x: F.regexp_count(x, F.lit(self.plan.java)).cast("bigint"))
+            return F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x) * n
+        if self._bytes:
+            raise UnsupportedPattern("lines of bytes; decode them first")
+        total = lambda e, rows, _: sum(sum(x is not None for x in m[::2]) for line in rows for m in e.each(line))
+        return self._arrow("bigint", pa.int64(), total, lines(c, mode))
+
     def _line_test(self) -> Callable[[Column], Column]:
         if self._bytes:
             raise UnsupportedPattern("lines of bytes; decode them first")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -126,6 +127,10 @@ class OrderedMany:
         spans = self._run(c, "array<struct<pattern_id:bigint,ordinal:int,start:bigint,end:bigint>>", kind, lambda each, o: [{"pattern_id": ids[i], "ordinal": i, "start": o.bytes(m[0]), "end": o.bytes(m[1])} for i, m in each])
         return spans if cap is None else F.slice(spans, 1, cap)
 
+    def total(self, c: Column | str) -> Column:
+        """How many spans there are, whatever the cap."""
+        return self.count(c)
+
     def count(self, c: Column | str) -> Column:
         if self.whole is not None and self.whole.plan.builtin:
             return self.whole.count(c)
@@ -142,6 +147,57 @@ class OrderedMany:
         return self._run(c, "bigint", pa.int64(), lambda each, _: sum(sum(m[2 * g] is not None for g in range(firsts[i], firsts[i] + sizes[i])) for i, m in each))
 
 
+class LiteralSet:
+    """Thousands of plain texts looked for in one pass by a trie with failure links (Aho-Corasick), built once in each worker. At most MAX_SOURCE bytes of them."""
+
+    def __init__(self, texts: Sequence[str], max_texts: int = 1 << 20):
+        self.texts = tuple(_checked(texts, max_texts))
+        if "" in self.texts:
+            raise LimitError("an empty text is found everywhere")
+
+    def matches(self, c: Column | str) -> Column:
+        """array<int>: places of the texts that occur, ascending; equal texts keep their places."""
+        return self._run(c, "array<int>", pa.list_(pa.int32()), lambda trie, x: sorted({i for _, places in trie.iter(x) for i in places}))
+
+    def is_match(self, c: Column | str) -> Column:
+        return self._run(c, "boolean", pa.bool_(), lambda trie, x: next(iter(trie.iter(x)), None) is not None)
+
+    def count(self, c: Column | str) -> Column:
+        """All occurrences, overlapping ones and those of equal texts included."""
+        return self._run(c, "bigint", pa.int64(), lambda trie, x: sum(len(places) for _, places in trie.iter(x)))
+
+    def _run(self, c: Column | str, result: str, kind: pa.DataType, function) -> Column:
+        texts = self.texts
+
+        def run(values: pa.Array) -> pa.Array:
+            trie = _trie(texts)
+            return pa.array([None if x is None else function(trie, x) if trie else function(_Nothing, x) for x in values.to_pylist()], kind)
+
+        return F.arrow_udf(run, result)(column(c))
+
+
+class _Nothing:
+    @staticmethod
+    def iter(_):
+        return iter(())
+
+
+@functools.lru_cache(maxsize=4)
+def _trie(texts: tuple[str, ...]):
+    import ahocorasick
+
+    places: dict[str, list[int]] = {}
+    for i, x in enumerate(texts):
+        places.setdefault(x, []).append(i)
+    if not places:
+        return None
+    trie = ahocorasick.Automaton()
+    for x, found in places.items():
+        trie.add_word(x, tuple(found))
+    trie.make_automaton()
+    return trie
+
+
 def _unnamed(pattern: str) -> str:
     """The pattern with its named groups made plain ones, which keep their numbers."""
     out, at, inside = [], 0, 0

@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.pattern import PatternError, Regex, lines
-from spanloom.functions.sets import RegexSet
+from spanloom.functions.pattern import LimitError, PatternError, Regex, lines
+from spanloom.functions.sets import MAX_SOURCE, LiteralSet, RegexSet
 
 #: A pattern table is compared with every document, so it must be small; larger ones are refused.
 MAX_PATTERN_ROWS = 4096
+MAX_LITERAL_ROWS = 1 << 18
 REDUCERS = ("search", "count", "span_sum", "grep_count", "count_captures")
 
 
@@ -30,12 +31,7 @@ def explode_matches(df: DataFrame, c: str, pattern: Regex | str, chars: bool = F
     keep = [x for x in df.columns if x not in (c, "match_no", "start", "end", "match_text")]
     if r.options.bytes_mode:
         return df.select(*keep, F.posexplode(r.find_iter(c)).alias("match_no", "s")).select(*keep, "match_no", "s.start", "s.end")
-    rows = df.select(*keep, F.col(c).alias("_t"), F.posexplode(r.find_iter(c, chars=True)).alias("match_no", "s"))
-    text = F.substring("_t", F.col("s.start").cast("int") + 1, (F.col("s.end") - F.col("s.start")).cast("int"))
-    if chars:
-        return rows.select(*keep, "match_no", "s.start", "s.end", text.alias("match_text"))
-    start = F.octet_length(F.substring("_t", F.lit(1), F.col("s.start").cast("int"))).cast("bigint")
-    return rows.select(*keep, "match_no", start.alias("start"), (start + F.octet_length(text)).alias("end"), text.alias("match_text"))
+    return df.select(*keep, F.posexplode(r.find_texts(c, chars)).alias("match_no", "s")).select(*keep, "match_no", "s.start", "s.end", F.col("s.text").alias("match_text"))
 
 
 def explode_texts(df: DataFrame, c: str, pattern: Regex | str) -> DataFrame:
@@ -58,8 +54,10 @@ def grep(df: DataFrame, c: str, pattern: str, ignore_case: bool = False, word: b
     source = rf"\b(?:{pattern})\b" if word else pattern
     r = Regex(source, case_insensitive=ignore_case)
     whole = df
-    if not invert and r.plan.required and not r.plan.unsafe:
-        whole = df.where(F.col(c).contains(F.lit(r.plan.required)))
+    # A match within a line is one within its text, unless an assertion takes a line's ends for the text's.
+    inner = Regex(pattern, case_insensitive=ignore_case)
+    if not invert and not inner.plan.unsafe and not inner.plan.contextual:
+        whole = df.where(inner.is_match(c))
     test = r.is_match("line")
     return explode_lines(whole, c, mode).where(~test if invert else test)
 
@@ -73,6 +71,16 @@ def grep_captures(df: DataFrame, c: str, pattern: Regex | str, mode: str = "lf")
     return rows.withColumn("_c", r.captures_struct("line")).select(*keep, *[F.col(f"_c.{n}").alias(n) for n in names])
 
 
+def grep_all_captures(df: DataFrame, c: str, pattern: Regex | str, mode: str = "lf") -> DataFrame:
+    """For each match of each line: line_no, match_no (from 0 within the line) and groups, an array of the groups' texts, null where one takes no part."""
+    r = regex(pattern)
+    rows = explode_lines(df, c, mode)
+    if not r.plan.unsafe:
+        rows = rows.where(r.is_match("line"))
+    keep = [x for x in rows.columns if x not in ("line", "match_no", "groups")]
+    return rows.select(*keep, F.posexplode(r.captures_texts("line")).alias("match_no", "groups"))
+
+
 def reduce_by(df: DataFrame, keys: Sequence[str], c: str, pattern: Regex | str) -> DataFrame:
     """For each group: docs, matching_docs, matches and matched_bytes. One pass over each text, then a pre-aggregated sum."""
     stats = df.select(*keys, regex(pattern).match_stats(c).alias("s"))
@@ -104,27 +112,59 @@ def pattern_counts(df: DataFrame, c: str, patterns: Sequence[str], keys: Sequenc
     return sums.select(*keys, each).select(*keys, "pattern_id", F.col("x.m").alias("matches"), F.col("x.d").alias("matching_docs"))
 
 
-def _patterns(patterns: DataFrame, column: str) -> DataFrame:
-    """The table, validated on the driver (which holds at most MAX_PATTERN_ROWS of it), with Java patterns and required texts."""
-    rows = patterns.limit(MAX_PATTERN_ROWS + 1).collect()
+def _rows(table: DataFrame, column: str) -> list:
+    """The table's rows, of which the driver holds MAX_PATTERN_ROWS at most."""
+    rows = table.limit(MAX_PATTERN_ROWS + 1).collect()
     if len(rows) > MAX_PATTERN_ROWS:
         raise PatternError(f"more than {MAX_PATTERN_ROWS} patterns")
-    known = [(*row, *((None, None) if row[column] is None else (Regex(row[column]).plan.java, Regex(row[column]).plan.required))) for row in rows]
     for row in rows:
         if row[column] is not None and Regex(row[column]).plan.unsafe:
             raise PatternError(f"{row[column]!r} needs the automaton, which joins can't run")
-    return patterns.sparkSession.createDataFrame(known, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in patterns.schema) + ", _java string, _needs string")
+    return rows
 
 
 def join_patterns(df: DataFrame, c: str, patterns: DataFrame, column: str = "pattern", how: str = "inner") -> DataFrame:
     """Documents with the rows of a pattern table that match them: inner, leftsemi (any matches) or leftanti (none does).
 
-    The table has at most MAX_PATTERN_ROWS rows, so each partition of documents is compared with a broadcast copy of it; the documents
-    aren't shuffled. A text that a pattern needs is tested before the pattern.
+    The table has at most MAX_PATTERN_ROWS rows. Each distinct pattern is one test in the scan of the documents, with its literals first, so a pattern
+    is compiled once and no document is compared row by row; the documents aren't shuffled. The rows of the table come back by their number,
+    from a broadcast of that size.
+    """
+    rows = _rows(patterns, column)
+    members = {row[column]: Regex(row[column]) for row in rows if row[column] is not None}
+    number = {p: i for i, p in enumerate(members)}
+    if how in ("leftsemi", "leftanti"):
+        found = F.lit(False)
+        for r in members.values():
+            found = found | F.coalesce(r.is_match(c), F.lit(False))
+        return df.where(found if how == "leftsemi" else ~found)
+    if how != "inner":
+        raise PatternError("how must be inner, leftsemi or leftanti")
+    return _with_rows(df, F.array_compact(F.array(*[F.when(r.is_match(c), F.lit(number[p])) for p, r in members.items()])) if members else F.array().cast("array<int>"), patterns, rows, [number.get(row[column]) for row in rows])
+
+
+def _with_rows(df: DataFrame, found: Column, table: DataFrame, rows: list, numbers: list) -> DataFrame:
+    """df with the rows of the table (at hand, with a number each) whose numbers are in the array found."""
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
+    numbered = table.sparkSession.createDataFrame([(*row, n) for row, n in zip(rows, numbers)], f"{kind}, _number int")
+    name, taken = "_found", {x.lower() for x in (*df.columns, *table.columns, "_number")}
+    while name in taken:
+        name = "_" + name
+    each = df.withColumn(name, F.explode(found))
+    return each.join(F.broadcast(numbered), each[name] == numbered["_number"]).drop(each[name], numbered["_number"])
+
+
+def join_literals(df: DataFrame, c: str, texts: DataFrame, column: str = "text") -> DataFrame:
+    """Documents with the rows of a table whose text (of column) they contain, all texts in one pass over each document.
+
+    The table has at most MAX_LITERAL_ROWS rows and 16 MiB of text, both checked before it comes to the driver. Null and empty texts join nothing.
     """
-    table = F.broadcast(_patterns(patterns, column))
-    condition = df[c].contains(table["_needs"]) & F.rlike(df[c], table["_java"])
-    return df.join(table, condition, how).drop("_java", "_needs")
+    some = texts.where(F.length(column) > 0)
+    n, size = some.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
+    if n > MAX_LITERAL_ROWS or size > MAX_SOURCE:
+        raise LimitError(f"{n} texts of {size} bytes, beyond {MAX_LITERAL_ROWS} or {MAX_SOURCE}")
+    rows = some.collect()
+    return _with_rows(df, LiteralSet([row[column] for row in rows]).matches(c), some, rows, list(range(len(rows))))
 
 
 def regex_redux(df: DataFrame, c: str, variants: Sequence[str], substitutions: Sequence[tuple[str, str]], clean: str = r">.*\n|\n") -> DataFrame:

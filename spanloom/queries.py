@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.pattern import Regex, escape, lines
-from spanloom.functions.sets import OrderedMany, RegexSet
+from spanloom.functions.sets import LiteralSet, OrderedMany, RegexSet
 from spanloom.operators import frames
 from spanloom.sources.corpus import table
 
@@ -65,11 +65,11 @@ def rx_first_match(spark, sf_dir):
     return found.select("doc_id", "m.start", "m.end", F.col("m.text").alias("hit"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN m THEN (10 + strlen(pre))::BIGINT END AS start FROM (SELECT doc_id, regexp_matches(substr(text, 11), 'th') AS m, regexp_extract(substr(text, 11), '^((?s:.*?))th', 1) AS pre FROM documents
-WHERE strlen(text) > 20 AND strlen(text) = length(text))""")
+@query(r"""WITH k AS (SELECT doc_id, text, list_filter(range(2, 11), lambda k: strlen(left(text, k::INT)) = 10)[1] AS k FROM documents)
+SELECT doc_id, CASE WHEN k IS NOT NULL AND contains(substr(text, k::INT + 1), 'th') THEN (10 + strlen(regexp_extract(substr(text, k::INT + 1), '^((?s:.*?))th', 1)))::BIGINT END AS start FROM k""")
 def rx_find_at(spark, sf_dir):
-    d = docs(spark, sf_dir).where((F.octet_length("text") > 20) & (F.octet_length("text") == F.length("text")))
-    return d.select("doc_id", Regex("th").find_at("text", 10)["start"].alias("start"))
+    """A row for every document; null where the offset lies within a character or outside the text."""
+    return docs(spark, sf_dir).select("doc_id", Regex("th").find_at("text", 10)["start"].alias("start"))
 
 
 @query()
@@ -79,7 +79,8 @@ def rx_window(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", w.is_match_window("text", 5, 40).alias("found"), w.find_window("text", 5, 40).alias("span"), w.captures_iter_window("text", 5, 40).alias("all"), w.is_match_at("text", 30).alias("later"))
 
 
-@query()
+@query(r"""SELECT doc_id, CASE WHEN m THEN (strlen(pre) + 1)::BIGINT END AS established, CASE WHEN m THEN (strlen(pre) + strlen(hit))::BIGINT END AS selected_end
+FROM (SELECT doc_id, regexp_matches(text, '[0-9]') AS m, regexp_extract(text, '^([^0-9]*)', 1) AS pre, regexp_extract(text, '[0-9]+') AS hit FROM documents)""")
 def rx_shortest(spark, sf_dir):
     r = Regex("[0-9]+")
     return docs(spark, sf_dir).select("doc_id", r.shortest_match("text").alias("established"), r.selected_end("text").alias("selected_end"))
@@ -106,9 +107,10 @@ def rx_options(spark, sf_dir):
     )
 
 
-@query()
+@query(r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}]+'), lambda x: length(x) = 13))::BIGINT AS words, len(regexp_extract_all(text, '[Éé]'))::BIGINT AS folded,
+len(regexp_extract_all(text, '\p{Lu}\p{Ll}+'))::BIGINT AS names FROM documents""")
 def rx_unicode(spark, sf_dir):
-    """Unicode words and case; DuckDB's classes are ASCII."""
+    """Unicode words and case; the SQL spells the classes out."""
     d = docs(spark, sf_dir)
     return d.select("doc_id", Regex(r"\b\w{13}\b").count("text").alias("words"), Regex("É", case_insensitive=True).count("text").alias("folded"), Regex(r"\p{Lu}\p{Ll}+").count("text").alias("names"))
 
@@ -144,7 +146,7 @@ def rx_count_captures(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", Regex("([A-Za-z]+)@([A-Za-z]+)").count_captures("text").alias("n"))
 
 
-@query()
+@query("SELECT doc_id, (length(regexp_replace(text, '[0-9]', '', 'g')) + 1)::BIGINT AS n, (strlen(text) - strlen(regexp_replace(text, '[0-9]', '', 'g')))::BIGINT AS bytes FROM documents")
 def rx_nullable_count(spark, sf_dir):
     """Empty matches: none right after another match."""
     r = Regex("[0-9]*")
@@ -231,6 +233,40 @@ def rx_grep_captures(spark, sf_dir):
     return frames.grep_captures(docs(spark, sf_dir).select("doc_id", "text"), "text", "(?P<who>[a-z0-9.]+)@(?P<host>[a-z0-9.-]+)")
 
 
+_AT = "([a-z0-9.]+)@([a-z0-9.-]+)"
+
+
+@query(rf"""SELECT doc_id, line_no, (generate_subscripts(m, 1) - 1)::INT AS match_no, regexp_extract(unnest(m), '{_AT}', 1) AS who, regexp_extract(unnest(m), '{_AT}', 2) AS host
+FROM (SELECT doc_id, line_no, regexp_extract_all(line, '{_AT}') AS m FROM {_LINES})""")
+def rx_grep_all_captures(spark, sf_dir):
+    """The groups of all matches of each line."""
+    found = frames.grep_all_captures(docs(spark, sf_dir).select("doc_id", "text"), "text", _AT)
+    return found.select("doc_id", "line_no", "match_no", F.col("groups")[1].alias("who"), F.col("groups")[2].alias("host"))
+
+
+@query(rf"""SELECT doc_id, coalesce(3 * list_sum(list_transform(string_split(text, chr(10)), lambda l: len(regexp_extract_all(l, '{_AT}')))), 0)::BIGINT AS static,
+coalesce(list_sum(list_transform(string_split(text, chr(10)), lambda l: 2 * len(regexp_extract_all(l, 'q|z')) + len(regexp_extract_all(l, 'zu')))), 0)::BIGINT AS varying FROM documents""")
+def rx_grep_captures_count(spark, sf_dir):
+    """Groups that take part, over all matches of each line."""
+    return docs(spark, sf_dir).select("doc_id", Regex(_AT).grep_captures_count("text").alias("static"), Regex("(q)|(z(u)?)").grep_captures_count("text").alias("varying"))
+
+
+@query(r"SELECT doc_id, (2 * len(regexp_extract_all(text, 'q|z')) + len(regexp_extract_all(text, 'zu')))::BIGINT AS n FROM documents")
+def rx_count_captures_varying(spark, sf_dir):
+    """As many groups take part as each match has."""
+    return docs(spark, sf_dir).select("doc_id", Regex("(q)|(z(u)?)").count_captures("text").alias("n"))
+
+
+@query(rf"""SELECT doc_id, CASE WHEN m THEN strlen(pre)::BIGINT END AS start, CASE WHEN m THEN (strlen(pre) + strlen(who))::BIGINT END AS who_end, CASE WHEN m THEN (strlen(pre) + strlen(who) + 1 + strlen(host))::BIGINT END AS host_end
+FROM (SELECT doc_id, regexp_matches(text, '{_AT}') AS m, regexp_extract(text, '^((?s:.*?)){_AT}', 1) AS pre, regexp_extract(text, '{_AT}', 1) AS who, regexp_extract(text, '{_AT}', 2) AS host FROM documents)""")
+def rx_captures_exact(spark, sf_dir):
+    """The groups of a match whose span is known."""
+    r = Regex(_AT)
+    d = docs(spark, sf_dir).select("doc_id", "text", r.find("text").alias("s"))
+    groups = r.captures_exact_window("text", F.col("s.start"), F.col("s.end"))
+    return d.select("doc_id", groups.alias("g")).select("doc_id", F.col("g")[0]["start"].alias("start"), F.col("g")[1]["end"].alias("who_end"), F.col("g")[2]["end"].alias("host_end"))
+
+
 # --- many patterns -----------------------------------------------------------------------------------------------------------------
 
 
@@ -266,13 +302,28 @@ def rx_set_counts(spark, sf_dir):
 
 @query("SELECT item_id, count(d.doc_id) AS docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def rx_contamination(spark, sf_dir):
-    """Documents that hold a benchmark item's whole text."""
+    """Documents that hold a benchmark item's whole text: all items in one pass over each document."""
     items = table(spark, sf_dir, "benchmark")
-    quoted = items.select("item_id", F.regexp_replace("text", r"([\\.+*?()|\[\]{}^$#&\-~])", r"\\$1").alias("pattern"))
-    hits = frames.join_patterns(docs(spark, sf_dir).select("doc_id", "text"), "text", quoted).groupBy("item_id").agg(F.count("doc_id").alias("n"))
+    found = frames.join_literals(docs(spark, sf_dir).select("doc_id", "text"), "text", items.select("item_id", F.col("text").alias("item")), "item")
+    hits = found.groupBy("item_id").agg(F.count("doc_id").alias("n"))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("docs"))
 
 
+@query(f"SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM {_values(TERMS[:3])} WHERE regexp_matches(text, pattern))")
+def rx_set_some(spark, sf_dir):
+    return frames.join_patterns(docs(spark, sf_dir).select("doc_id", "text"), "text", _table(spark, ASCII_TERMS[:3]), how="leftsemi").select("doc_id")
+
+
+_WORDS = ["license", "house", "token", "secret", "the", "he", "them", "password", "qqq"]
+
+
+@query("SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN contains(text, '{w}') THEN {i} END" for i, w in enumerate(_WORDS)) + "], lambda x: x IS NOT NULL)::VARCHAR AS ids, " + " OR ".join(f"contains(text, '{w}')" for w in _WORDS[:4]) + " AS some, " + " OR ".join(f"contains(text, '{w}')" for w in _WORDS[2:4]) + " AS choice FROM documents")
+def rx_literal_set(spark, sf_dir):
+    """Plain texts by a trie, and a choice of texts as string functions."""
+    shown = F.concat(F.lit("["), F.array_join(LiteralSet(_WORDS).matches("text").cast("array<string>"), ", "), F.lit("]"))
+    return docs(spark, sf_dir).select("doc_id", shown.alias("ids"), LiteralSet(_WORDS[:4]).is_match("text").alias("some"), Regex("token|secret").is_match("text").alias("choice"))
+
+
 _MANY = ["[A-Z][a-z]+", "[A-Za-z]+ing", "[0-9]+"]
 
 
@@ -308,7 +359,8 @@ def rx_replace_first(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", Regex(ING).replace("text", "<>").alias("text"))
 
 
-@query()
+@query(r"""SELECT doc_id, concat(array_to_string(list_transform(range(1, len(m) + 1), lambda i: concat(g[i], strlen(m[i])::VARCHAR)), ''), g[len(g)]) AS text
+FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS m, string_split_regex(text, '[0-9]+') AS g FROM documents)""")
 def rx_replace_with(spark, sf_dir):
     """A function of each match, here its length."""
     return docs(spark, sf_dir).select("doc_id", Regex("[0-9]+").replace_with("text", lambda text, span: str(span[1] - span[0])).alias("text"))
@@ -338,6 +390,20 @@ def rx_redux(spark, sf_dir):
     return frames.regex_redux(d, "text", ["the|and", "[cgt]a"], [("th[ae]", "<1>"), ("[.][^.]*[.]", "|")], clean="\n").drop("text")
 
 
+@query(r"SELECT doc_id, least(len(m), 3)::INT AS shown, len(m)::BIGINT AS total, CASE WHEN len(m) > 0 THEN strlen(m[1])::BIGINT END AS first_bytes FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS m FROM documents)")
+def rx_capped(spark, sf_dir):
+    """The first spans, and how many there are."""
+    d = docs(spark, sf_dir).select("doc_id", Regex("[0-9]+").find_capped("text", 3).alias("f"))
+    first = F.get(F.col("f.spans"), F.lit(0))
+    return d.select("doc_id", F.size("f.spans").alias("shown"), "f.total", (first["end"] - first["start"]).alias("first_bytes"))
+
+
+@query("SELECT doc_id, strlen(text)::BIGINT AS bytes, 1::BIGINT AS matches FROM documents")
+def rx_cover(spark, sf_dir):
+    """Any text is one match."""
+    return docs(spark, sf_dir).select("doc_id", Regex("(?s).*").span_sum("text").alias("bytes"), Regex("(?s).*").count("text").alias("matches"))
+
+
 # --- bytes, limits, metadata -------------------------------------------------------------------------------------------------------
 
 
@@ -347,7 +413,9 @@ def rx_bytes(spark, sf_dir):
     return raw.select("doc_id", Regex(r"[\x{80}-\x{10FFFF}]", bytes_mode=True).count("raw").alias("chars"), Regex(r"(?-u)[\x80-\xBF]", bytes_mode=True).count("raw").alias("more"))
 
 
-@query()
+@query(r"""SELECT * FROM (VALUES
+('[A-Za-z]+ing', 1, 1, [''], 'ing', 4, NULL), ('[A-Za-z0-9._]+@[A-Za-z0-9-]+\.[A-Za-z]+', 1, 1, [''], '@', 5, NULL), ('(?P<y>\d{4})-(?P<m>\d\d)', 3, 3, ['', 'y', 'm'], '-', 7, 7),
+('(a)|b', 2, NULL, ['', ''], '', 1, 1), ('(a)|(b)', 3, 2, ['', '', ''], '', 1, 1), ('a\.b', 1, 1, [''], 'a.b', 3, 3)) t(pattern, captures_len, static_captures_len, names, required, least, most)""")
 def rx_metadata(spark, sf_dir):
     rows = []
     for p in (ING, EMAIL, r"(?P<y>\d{4})-(?P<m>\d\d)", "(a)|b", "(a)|(b)", escape("a.b")):
@@ -356,7 +424,7 @@ def rx_metadata(spark, sf_dir):
     return spark.createDataFrame(rows, "pattern string, captures_len int, static_captures_len int, names array<string>, required string, least int, most int")
 
 
-@query()
+@query("SELECT doc_id, contains(text, 'qq!') AS found FROM documents")
 def rx_linear_time(spark, sf_dir):
-    """A pattern on which backtracking would recurse once for each character goes to the automaton."""
+    """A pattern on which backtracking would recurse once for each character goes to the automaton. (The repeated part may be left out.)"""
     return docs(spark, sf_dir).select("doc_id", Regex("(?:[a-z]+ ?)*qq!").is_match("text").alias("found"))
