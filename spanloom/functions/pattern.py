@@ -272,19 +272,19 @@ class Regex:
         p, t = self.plan, self._text(c)
         if p.literal:
             return self.count(c) * len(p.literal if self._bytes else p.literal.encode())
-        if p.builtin:  # what goes if all matches go
-            return (self._size(t) - self._size(F.regexp_replace(t, F.lit(p.java), F.lit("")))).cast("bigint")
         if p.covers and not self._bytes:
             return F.octet_length(t).cast("bigint")
         if not p.unsafe:  # empty matches add nothing, so it doesn't matter which of them Spark counts
-            return F.aggregate(F.regexp_extract_all(t, F.lit(p.java), F.lit(0)), F.lit(0).cast("bigint"), lambda a, m: a + (F.length(m) if self._bytes else F.octet_length(m)))
+            return self._size(F.array_join(F.regexp_extract_all(t, F.lit(p.java), F.lit(0)), ""))
         return self._arrow("bigint", pa.int64(), lambda e, s, o: sum(-o.bytes(a) + o.bytes(b) for a, b in e.spans(s)), column(c))
 
     def match_stats(self, c: Column | str) -> Column:
-        """struct<count, span_sum>."""
+        """struct<count, span_sum> in one pass."""
         p, t = self.plan, self._text(c)
         if p.builtin:
-            return F.when(t.isNotNull(), F.struct(self.count(c).alias("count"), self.span_sum(c).alias("span_sum")))
+            each = F.array(F.regexp_extract_all(t, F.lit(p.java), F.lit(0)))
+            told = F.transform(each, lambda m: F.struct(F.size(m).cast("bigint").alias("count"), self._size(F.array_join(m, "")).alias("span_sum")))
+            return F.when(t.isNotNull(), F.get(told, F.lit(0)))
 
         def stats(e, s, o):
             each = [(o.bytes(a), o.bytes(b)) for a, b in e.spans(s)]

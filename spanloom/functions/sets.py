@@ -141,6 +141,12 @@ class OrderedMany:
             return self.whole.span_sum(c)
         return self._run(c, "bigint", pa.int64(), lambda each, o: sum(o.bytes(m[1]) - o.bytes(m[0]) for _, m in each))
 
+    def match_stats(self, c: Column | str) -> Column:
+        """struct<count, span_sum>, in one pass where the patterns permit."""
+        if self.whole is not None and self.whole.plan.builtin:
+            return self.whole.match_stats(c)
+        return F.when(column(c).isNotNull(), F.struct(self.count(c).alias("count"), self.span_sum(c).alias("span_sum")))
+
     def count_captures(self, c: Column | str) -> Column:
         """Groups that take part, over all matches: the whole match and the winner's own groups."""
         firsts, sizes = self.firsts, [r.captures_len() for r in self.members]

@@ -330,7 +330,8 @@ _MANY = ["[A-Z][a-z]+", "[A-Za-z]+ing", "[0-9]+"]
 @query("SELECT doc_id, len(m)::BIGINT AS n, coalesce(list_sum(list_transform(m, lambda x: strlen(x))), 0)::BIGINT AS bytes FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+|[A-Za-z]+ing|[0-9]+') AS m FROM documents)")
 def rx_ordered_stats(spark, sf_dir):
     o = OrderedMany(_MANY)
-    return docs(spark, sf_dir).select("doc_id", o.count("text").alias("n"), o.span_sum("text").alias("bytes"))
+    stats = docs(spark, sf_dir).select("doc_id", o.match_stats("text").alias("s"))
+    return stats.select("doc_id", F.col("s.count").alias("n"), F.col("s.span_sum").alias("bytes"))
 
 
 @query(r"""SELECT doc_id, (CASE WHEN regexp_matches(m, '^[0-9]+$') THEN 30 WHEN regexp_matches(m, '^[A-Z][a-z]+$') THEN 10 ELSE 20 END)::BIGINT AS pattern_id, count(*) AS n

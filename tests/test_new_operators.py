@@ -44,7 +44,7 @@ def test_safe_patterns_run_alike_everywhere(spark):
     rnd = random.Random(8)
     texts = ["".join(rnd.choice("aabbc1. \n@é") for _ in range(rnd.randrange(0, 25))) for _ in range(150)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    for p in ["[ab]+c", "[ab]+b", "a+?b", "(?m)[abc]+$", "[ab]{2,}a", "([ab]+)(c?)1", "[a-c]+ ?[0-9]", "a+|b+c", "(?:ab)+a", r"[ab]+\b", "a*b", "[ab]+$", "(?s).+c"]:
+    for p in ["[ab]+c", "[ab]+b", "a+?b", "(?m)[abc]+$", "[ab]{2,}a", "([ab]+)(c?)1", "[a-c]+ ?[0-9]", "a+|b+c", "(?:ab)+a", r"[ab]+\b", "a*b", "[ab]+1[ab]", "[ab]+(?:1|c)", "[ab]+(?:a1)?b", "[abc]+?ab", "[ab]+$", "(?s).+c"]:
         r = Regex(p)
         assert not r.plan.unsafe, p
         e = Engine(p, Options())
