@@ -286,10 +286,10 @@ def _blocks_apart(rows: DataFrame) -> DataFrame:
     """Near pairs of different components within buckets; rows: (key, id, component, sig)."""
     rows = materialise(rows, "open-buckets")
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top"))
-    sizes = sizes.select("key", (F.ceil(F.col("n") / BLOCK)).cast("int").alias("across"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("down"), F.col("top.component").alias("largest"))
+    sizes = sizes.select("key", (F.col("n") * (F.col("n") - F.col("top.c"))).alias("compared"), (F.ceil(F.col("n") / BLOCK)).cast("int").alias("across"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("down"), F.col("top.component").alias("largest"))
     sizes = materialise(sizes, "open-bucket-sizes")
-    cells = sizes.agg(F.sum(F.col("across").cast("long") * F.col("down"))).first()[0] or 0
-    marked = rows.join(sizes, "key").withColumn("minor", F.col("component") != F.col("largest"))
+    compared_pairs = sizes.agg(F.sum(F.col("compared").cast("double"))).first()[0] or 0
+    marked = rows.join(sizes.drop("compared"), "key").withColumn("minor", F.col("component") != F.col("largest"))
     place = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # What isn't of the largest component goes down, everything across: a cell is compared in one task.
@@ -325,7 +325,7 @@ def _blocks_apart(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
     # A number of partitions that is asked for isn't coalesced: the cells' bytes are few, their work is not.
-    tasks = int(min(max(cells // 4, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MAX_TASKS))
+    tasks = int(min(max(compared_pairs // (4 * BLOCK * BLOCK), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MAX_TASKS))
     return right.unionByName(left).repartition(tasks, "key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u long, v long").distinct()
 
 
